@@ -52,3 +52,28 @@ def url(address):
     rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
     fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return host, path, *(max(fits)[1:] if fits else (None, "allow"))
+
+
+def shingles(text, width):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def components(docs, width, p, q):
+    """doc_id: (set size, smallest linked doc_id), for distinct doc_ids."""
+    sets = {i: shingles(t, width) for i, t in docs}
+    name = {i: i for i in sets}
+
+    def root(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and q * both >= p * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                name[y] = x
+    return {i: (len(sets[i]), root(i)) for i in ids}
