@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -73,6 +72,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, last: int | None =
     small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")
 
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int64())] if keep_ids else [])]
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe, rows = byte_bpe(path), []
         for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -81,7 +82,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, last: int | None =
             raw = memoryview(ids.astype("<u4").tobytes())
             for k, (at, n) in enumerate(cut(len(ids), length) if len(ids) else ()):
                 rows.append((key, k, at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), *([ids[at : at + n].tolist()] if keep_ids else [])))
-        return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]), preserve_index=False) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([(x.split()[0], pa.int64()) for x in schema.split(", ")]))
+        columns = zip(*rows) if rows else [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=[x.split()[0] for x in schema.split(", ")])
 
     return arrow_map(docs.selectExpr(f"CAST(`{doc_id}` AS LONG) AS doc_id", f"`{text}` AS text"), run, schema)
 
@@ -126,11 +128,12 @@ def pack(cut_up: DataFrame, length: int = LENGTH, most: int = OPEN) -> DataFrame
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_up.schema) + ", sequence_id long, offset long"
     order = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, first = Bins(length, most), TaskContext.get().partitionId() << 40
-        for part in parts:
-            placed = [bins.put(n) for n in part["length"].tolist()]
-            yield part.assign(sequence_id=[first + number for number, _ in placed], offset=[at for _, at in placed])
+        for batch in batches:
+            placed = [bins.put(n) for n in batch.column("length").to_pylist()]
+            more = [pa.array([first + number for number, _ in placed], pa.int64()), pa.array([at for _, at in placed], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "sequence_id", "offset"])
 
     dealt = cut_up.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order", "doc_id", "piece", "start")
-    return dealt.drop("_order").mapInPandas(run, schema)
+    return dealt.drop("_order").mapInArrow(run, schema)

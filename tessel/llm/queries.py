@@ -7,7 +7,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import bpe, jaccard, licenses, packing, quality, secrets, urls
+from tessel.llm import bpe, jaccard, licenses, lm, packing, quality, secrets, urls
+from tessel.llm._common import remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -61,4 +66,4 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"), width=3, least=Fraction(9, 10))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op3_bpe, op5_secrets, op6_packing, op7_urls, op8_quality, op9_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_lm, op3_bpe, op5_secrets, op6_packing, op7_urls, op8_quality, op9_jaccard)}
