@@ -223,3 +223,13 @@ def linked(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10), d
     names = classes.join(joined, classes["class"] == joined.node, "left").select("k1", "k2", F.coalesce("component", "class").alias("component_id"))
     named = rows.where("n_shingles > 0").join(names, ["k1", "k2"], "left").select("doc_id", "n_shingles", "component_id")
     return named.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` but for near copies: of each component the smallest doc_id stays, in one row.
+
+    Rows without a doc_id stay: they can't be told from each other.
+    """
+    first = linked(docs, width, least, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    known = docs.where(F.col(doc_id).isNotNull()).join(first, F.col(doc_id) == F.col("_first"), "left_semi").dropDuplicates([doc_id])
+    return known.unionByName(docs.where(F.col(doc_id).isNull()))

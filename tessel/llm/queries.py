@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import bpe, jaccard, licenses, lm, packing, quality, secrets, urls
+from tessel.llm import ann, bpe, classifier, jaccard, licenses, lm, packing, quality, secrets, urls
 from tessel.llm._common import remainder
 
 
@@ -33,6 +33,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["rank"] < len(secrets.BASE))
@@ -66,4 +70,10 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"), width=3, least=Fraction(9, 10))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_lm, op3_bpe, op5_secrets, op6_packing, op7_urls, op8_quality, op9_jaccard)}
+def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 4) == 2
+    scored = classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_lm, op3_bpe, op4_ann, op5_secrets, op6_packing, op7_urls, op8_quality, op9_jaccard, op10_classifier)}

@@ -1,0 +1,46 @@
+"""The pipeline's stages, each against plain Python on its own input."""
+
+import brute
+import public_tokenizers
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tessel.llm import secrets
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, names = docs.columns, [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["quality rules", "quality classifier", "n-gram Jaccard join", "secret scans", "best-fit packing"]
+    good = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA).cache()
+        rows = out.collect()
+        if name == "best-fit packing":
+            library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+            assert sum(r.length for r in rows) == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for t in texts.values())
+            continue
+        assert out.columns == columns and len(rows) == len({r.doc_id for r in rows})
+        left = {r.doc_id: r.text for r in rows}
+        if name == "quality rules":
+            assert not [i for i, t in left.items() if brute.quality(t)[5]]
+            assert not [i for i in texts.keys() - left.keys() if i in good and not brute.quality(texts[i])[5]]
+        elif name == "quality classifier":
+            assert len([i for i in texts.keys() - left.keys() if i in good]) <= 0.02 * len(texts)
+        elif name == "n-gram Jaccard join":
+            assert left.keys() == {c for _, c in brute.components(sorted(texts.items()), 5, 8, 10).values()}
+        elif name == "secret scans":
+            assert left.keys() == texts.keys()
+            assert all((left[i] == t) == (brute.secrets(t)[:3] == (0, 0, 0)) or secrets.MORE for i, t in texts.items())
+            assert not [i for i, t in left.items() if sum(brute.secrets(t)[:3])]
+        docs, texts = out, left
+
+
+def test_run_and_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, DATA).count() > 0
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
