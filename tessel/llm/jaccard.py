@@ -181,8 +181,8 @@ def linked(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10), d
     all that any of them links with. A null doc_id names no class; its row has the component of rows with an equal set, else null.
 
     1. Equal sets become one class, named by its smallest doc_id.
-    2. Classes that share a segment of their sketches get into one family (components of a star around each segment's
-       smallest class). Each link lies within a family.
+    2. Classes that share a segment of their sketches get into one family (components of stars around segments'
+       smallest classes). Each link lies within a family.
     3. A family's members are dealt into blocks, and every two blocks meet in a task of their own, where sketches'
        Hamming distances and then the sets themselves decide. Only links that join something new are kept.
     4. Components of these links name the documents.
@@ -194,7 +194,9 @@ def linked(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10), d
     classes = scratch(classes, "jaccard-classes")
     parts = classes.select("class", F.explode("segments").alias("segment"))
     shared = parts.groupBy("segment").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
-    stars = parts.join(shared, "segment").where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
+    around = parts.join(shared, "segment").groupBy("class").agg(F.min("least").alias("low"), F.collect_set("least").alias("all"))
+    # a class leads to the lowest of its segments' smallest classes, and so do these: few edges, however large a segment
+    stars = around.select(F.col("low").alias("a"), F.explode(F.array_union("all", F.array("class"))).alias("b")).where("a <> b").distinct()
     families = components(stars).withColumnRenamed("component", "family")
     sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     families = scratch(families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "jaccard-families")
