@@ -31,8 +31,11 @@ class Threshold:
         self.segments: list[int] = []
 
     def grow(self, size: int) -> None:
-        """Sets at most one band apart can be similar enough: each band begins at its predecessor's begin / least or later."""
-        while self.edges[-1] <= size:
+        """Sets at most one band apart can be similar enough: each band begins at its predecessor's begin / least or later.
+
+        There are bands up to the one above that of ``size``.
+        """
+        while len(self.edges) < 3 or self.edges[-2] <= size:
             lo = self.edges[-1]
             hi = max(lo + 1, -(-lo * self.least.denominator // self.least.numerator))
             self.edges.append(hi)
@@ -43,8 +46,7 @@ class Threshold:
         return int(sizes * (1 - self.least) / (1 + self.least))
 
     def bands(self, sizes: np.ndarray) -> np.ndarray:
-        self.grow(int(sizes.max(initial=1)) + 1)
-        self.grow(self.edges[-1])  # the band above as well
+        self.grow(int(sizes.max(initial=1)))
         return np.searchsorted(np.array(self.edges), sizes, side="right") - 1
 
 
