@@ -192,7 +192,7 @@ def t22_parse_lists(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.parse_list(F.col("text")), "|").alias("items"))
 
 
-@query("""WITH b AS (SELECT l_orderkey, l_linenumber AS pos, l_shipmode AS label, round(l_discount * 100) AS x0, l_quantity AS x1, round(l_tax * 100) AS y0, l_linenumber * 3 AS y1, l_linestatus = 'O' AND l_linenumber % 5 = 0 AS grouped FROM lineitem),
+@query("""WITH b AS (SELECT l_orderkey, l_partkey * 1000000 + l_suppkey * 10 + l_linenumber AS pos, l_shipmode AS label, round(l_discount * 100) AS x0, l_quantity AS x1, round(l_tax * 100) AS y0, l_linenumber * 3 AS y1, l_linestatus = 'O' AND l_linenumber % 5 = 0 AS grouped FROM lineitem),
 a AS (SELECT *, greatest(0, x1 - x0) * greatest(0, y1 - y0) AS area FROM b WHERE NOT grouped),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, label ORDER BY area DESC, pos) AS n FROM a WHERE area >= 0.03)
 SELECT l_orderkey, label, pos, row_number() OVER (PARTITION BY l_orderkey ORDER BY area DESC, pos) AS rank FROM r WHERE n = 1""".replace("l_shipmode", "l_returnflag"))
@@ -200,7 +200,7 @@ def t03_object_caption_candidates(spark, sf_dir):
     from tessel.operators.scoring import object_candidates
 
     boxes = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("label"), F.round(F.col("l_discount") * 100).alias("xmin"), F.col("l_quantity").alias("xmax"),
+        "l_orderkey", (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_returnflag").alias("label"), F.round(F.col("l_discount") * 100).alias("xmin"), F.col("l_quantity").alias("xmax"),
         F.round(F.col("l_tax") * 100).alias("ymin"), (F.col("l_linenumber") * 3).alias("ymax"), ((F.col("l_linestatus") == "O") & (F.col("l_linenumber") % 5 == 0)).alias("is_group_of"),
     )
     return object_candidates(boxes, ["l_orderkey"], "label", 0.03).select("l_orderkey", "label", "pos", "rank")
