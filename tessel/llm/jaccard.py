@@ -18,8 +18,11 @@ from tessel.llm._graph import components
 
 #: Members of a family that meet in one task are two blocks of about this many.
 BLOCK = 100
-#: Bits of the folded sketch that candidates are compared by before their sets are.
-BITS = 1024
+#: Bits of the folded sketch by which candidates are compared before their sets are; larger sets have more.
+BITS, MOST_BITS = 1024, 65536
+#: Sets that share a segment are compared each with each up to this many; more meet in a family.
+FEW = 4
+PAIR = -100
 
 
 class Threshold:
@@ -28,6 +31,7 @@ class Threshold:
     def __init__(self, least: Fraction):
         self.least = least
         self.edges = [1]
+        self.most: list[int] = []
         self.segments: list[int] = []
 
     def grow(self, size: int) -> None:
@@ -39,7 +43,9 @@ class Threshold:
             lo = self.edges[-1]
             hi = max(lo + 1, -(-lo * self.least.denominator // self.least.numerator))
             self.edges.append(hi)
-            self.segments.append(self.differences(2 * (hi - 1)) + 1)
+            most = self.differences(2 * (hi - 1))
+            self.most.append(most)
+            self.segments.append(most + (most // 25 + 3 if most else 1))
 
     def differences(self, sizes: int) -> int:
         """The most elements in which two similar sets of so many together differ."""
@@ -82,16 +88,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return run, np.searchsorted(text_of, np.arange(len(counts) + 1))
 
 
-def signatures(shingles: np.ndarray, at: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """For each set, the segments of its sketches in its own band of sizes and the next: values and where each set's begin.
+def signatures(shingles: np.ndarray, at: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each set, the segments of its sketches in its own band of sizes and the next: values, where each set's begin,
+    and for each value twice the number of segments that the set could do without in its band (-1: none, and empty ones
+    count), plus 1 in the next band.
 
     A sketch has a bit for each 64-bit value, of which every shingle flips one; a segment holds the shingles whose hash
     falls to it. It is written as the XOR of its bits' codes, so that equal values mean equal segments. Two sets within
-    the most differences that their band allows have at least one segment of that band in common.
+    the most differences that their band allows have at least one segment of that band in common. There are some more
+    segments than differences: a set with more filled segments than those has a filled one in common with its partner, so
+    that its empty ones, which say nothing, are left out. Only where both lack this do they meet by empty ones.
     """
     t, sizes = threshold(least.numerator, least.denominator), np.diff(at)
     bands = t.bands(sizes)
-    segments = np.array(t.segments)
+    segments, most = np.array(t.segments), np.array(t.most)
     spread = (B.mix(shingles ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(33)).astype(np.int64)
     codes = B.mix(shingles + np.uint64(0x14057B7EF767814F))
     found = []
@@ -105,43 +115,147 @@ def signatures(shingles: np.ndarray, at: np.ndarray, least: Fraction) -> tuple[n
             cut = np.flatnonzero(np.concatenate([[True], np.diff(where[order]) > 0]))
             value[where[order][cut]] = np.bitwise_xor.reduceat(codes[order], cut)
         segment = np.arange(begin[-1]) - np.repeat(begin[:-1], number)
+        held = np.zeros(begin[-1] + 1, dtype=np.int64)
+        held[1:] = np.cumsum(np.bincount(where, minlength=begin[-1])[: begin[-1]] > 0)
+        spare = held[begin[1:]] - held[begin[:-1]] - np.where(sizes > 0, most[bands + up], 0) - 1
+        enough = spare >= 0
         place = (np.repeat(bands + up, number).astype(np.uint64) << np.uint64(40)) + segment.astype(np.uint64)
-        found.append((number, begin, B.mix(value ^ B.mix(place + np.uint64(1)))))
-    (n0, b0, v0), (n1, b1, v1) = found
+        value = B.mix(value ^ B.mix(place + np.uint64(1)))
+        kept = ~np.repeat(enough, number) | (np.diff(held) > 0)
+        number = np.add.reduceat(np.append(kept, False).astype(np.int64), begin[:-1]) * (sizes > 0) if len(sizes) else number
+        found.append((number, np.concatenate([[0], np.cumsum(number)]), value[kept], np.repeat(2 * np.maximum(spare, -1) + up, number)))
+    (n0, b0, v0, s0), (n1, b1, v1, s1) = found
     begin = b0 + b1
-    values = np.empty(begin[-1], dtype=np.uint64)
-    values[np.repeat(begin[:-1], n0) + np.arange(len(v0)) - np.repeat(b0[:-1], n0)] = v0
-    values[np.repeat(begin[:-1] + n0, n1) + np.arange(len(v1)) - np.repeat(b1[:-1], n1)] = v1
-    return values, begin
+    values, spares = np.empty(begin[-1], dtype=np.uint64), np.empty(begin[-1], dtype=np.int32)
+    for number, old, value, spare, to in ((n0, b0, v0, s0, begin[:-1]), (n1, b1, v1, s1, begin[:-1] + n0)):
+        where = np.repeat(to, number) + np.arange(len(value)) - np.repeat(old[:-1], number)
+        values[where], spares[where] = value, spare
+    return values, begin, spares
 
 
-def sketched(docs: DataFrame, width: int, least: Fraction, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (a 128-bit key of the set) and segments of every row."""
+def set_keys(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each set; 0 for empty ones."""
+    key, full = np.zeros(len(at) - 1, dtype=np.uint64), np.flatnonzero(np.diff(at))
+    if len(full):
+        key[full] = B.mix(np.add.reduceat(B.mix(shingles ^ np.uint64(0xA0761D6478BD642F)), at[full]))
+    return key.view(np.int64)
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     small_batches(docs.sparkSession)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
+def sketched(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, n_shingles, key (of the set) and sketch (its folded parities) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, k1, k2, segments = [], [], [], []
+        sizes, keys, sketches = [], [], []
         for _, data, offsets in B.chunks(batch.column(1)):
             shingles, at = shingle_sets(B.LOWER[data], offsets, width)
-            full = np.flatnonzero(np.diff(at))
             sizes.append(np.diff(at))
-            for keys, salt in ((k1, 0xA0761D6478BD642F), (k2, 0xE7037ED1A0B428DB)):
-                key = np.zeros(len(at) - 1, dtype=np.uint64)
-                if len(full):
-                    key[full] = np.add.reduceat(B.mix(shingles ^ np.uint64(salt)), at[full])
-                keys.append(key.view(np.int64))
-            values, begin = signatures(shingles, at, least)
-            segments.append(list_array(begin, values.view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(k1)), pa.array(np.concatenate(k2)), pa.concat_arrays(segments)], names=["doc_id", "n_shingles", "k1", "k2", "segments"])
+            keys.append(set_keys(shingles, at))
+            sketches += [folded(shingles[i:j]) for i, j in zip(at[:-1], at[1:])]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(keys)), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "key", "sketch"])
+
+    return arrow_map(_texts(docs, doc_id, text), run, "doc_id long, n_shingles long, key long, sketch binary")
+
+
+def segments(docs: DataFrame, width: int, least: Fraction, doc_id: str, text: str) -> DataFrame:
+    """(segment, node, spare) of every text's set, node being the set's key."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for _, data, offsets in B.chunks(batch.column(1)):
+            shingles, at = shingle_sets(B.LOWER[data], offsets, width)
+            values, begin, spares = signatures(shingles, at, least)
+            found.append((values.view(np.int64), np.repeat(set_keys(shingles, at), np.diff(begin)), spares))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["segment", "node", "spare"])
+
+    return arrow_map(_texts(docs, doc_id, text), run, "segment long, node long, spare int")
+
+
+def meetings(parts: DataFrame) -> DataFrame:
+    """(a, b, spare): pairs of up to FEW sets that share a segment (spare is PAIR); of more, each with the first one.
 
-    return arrow_map(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_shingles long, k1 long, k2 long, segments array<long>")
+    Segments are dealt and sorted; a task reads runs of equal ones and holds FEW rows of a run, however long it is.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        long_run: tuple[int, int] | None = None
+        for batch in _and_end(batches):
+            segment, node, spare = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)) if batch is not None else held
+            out = []
+            if long_run is not None and len(segment):
+                more = int(np.searchsorted(segment, long_run[0], side="right")) if segment[0] == long_run[0] else 0
+                out.append((np.full(more, long_run[1]), node[:more], spare[:more]))
+                segment, node, spare = segment[more:], node[more:], spare[more:]
+                if len(segment):
+                    long_run = None
+            new = np.ones(len(segment), dtype=bool)
+            new[1:] = (segment[1:] != segment[:-1]) | (node[1:] != node[:-1])
+            segment, node, spare = segment[new], node[new], spare[new]
+            starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(segment) else np.zeros(0, np.int64)
+            lengths = np.diff(np.append(starts, len(segment)))
+            held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+            if batch is not None and len(starts):
+                last = starts[-1]
+                if lengths[-1] > FEW:
+                    long_run = (int(segment[last]), int(node[last]))
+                else:
+                    held = [segment[last:], node[last:], spare[last:]]
+                    segment, node, spare, starts, lengths = segment[:last], node[:last], spare[:last], starts[:-1], lengths[:-1]
+            large = np.repeat(lengths > FEW, lengths)
+            out.append((np.repeat(node[starts], lengths)[large], node[large], spare[large]))
+            for d in range(1, FEW):
+                near = np.flatnonzero((segment[:-d] == segment[d:]) & ~large[d:]) if len(segment) > d else np.zeros(0, np.int64)
+                out.append((node[near], node[near + d], np.full(len(near), PAIR, np.int32)))
+            a, b, s = (np.concatenate(x) for x in zip(*out))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b), pa.array(s.astype(np.int32))], names=["a", "b", "spare"])
+
+    return parts.repartition("segment").sortWithinPartitions("segment", "node").mapInArrow(run, "a long, b long, spare int")
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def folded(shingles: np.ndarray) -> bytes:
+    """A parity sketch, whose Hamming distance to another's is at most the number of differences."""
+    bits = BITS
+    while bits < MOST_BITS and 2 * bits < 4 * len(shingles) - 4 * BITS:
+        bits *= 2
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """The Hamming distance of two sketches; halves of the larger one are laid upon each other until it is as small."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow to be similar enough."""
+    p, q = least.numerator, least.denominator
+    side = lambda x: sketches.select(F.col("key").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
 
-def folded(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Parity sketches of BITS bits, as bytes: their Hamming distance is at most the number of differences."""
-    bits = np.zeros((len(at) - 1, BITS), dtype=np.uint8)
-    np.add.at(bits, (np.repeat(np.arange(len(at) - 1), np.diff(at)), (shingles >> np.uint64(54)).astype(np.int64)), 1)
-    return np.packbits(bits & 1, axis=1)
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
+        fits = q * np.minimum(n_a, n_b) >= p * np.maximum(n_a, n_b)
+        for i in np.flatnonzero(fits):
+            fits[i] = (p + q) * apart(batch.column(4)[i].as_py(), batch.column(5)[i].as_py()) <= (q - p) * (n_a[i] + n_b[i])
+        return pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(fits))
+
+    return arrow_map(both, run, "a long, b long")
 
 
 def spanning(ids: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[tuple[int, int]]:
@@ -150,8 +264,9 @@ def spanning(ids: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[t
     A pair is verified if its sketches and sizes allow it and no earlier link joins the two already.
     """
     sizes = np.array([len(s) for s in sets])
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    sketches = folded(np.concatenate(sets), at)
+    values = np.concatenate(sets) & np.uint64(BITS - 1)
+    bits = np.bincount(np.repeat(np.arange(len(sets)), sizes) * BITS + values.astype(np.int64), minlength=len(sets) * BITS)
+    sketches = np.packbits((bits & 1).astype(np.uint8).reshape(len(sets), BITS), axis=1)
     parent, links = list(range(len(ids))), []
 
     def root(i: int) -> int:
@@ -163,8 +278,8 @@ def spanning(ids: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[t
     p, q = least.numerator, least.denominator
     for i in range(len(ids) - 1):
         total = sizes[i] + sizes[i + 1 :]
-        apart = np.bitwise_count(sketches[i + 1 :] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-        for j in (i + 1 + np.flatnonzero((p + q) * apart <= (q - p) * total)).tolist():
+        distance = np.bitwise_count(sketches[i + 1 :] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        for j in (i + 1 + np.flatnonzero((p + q) * distance <= (q - p) * total)).tolist():
             a, b = root(i), root(j)
             if a != b:
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -179,54 +294,57 @@ def linked(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10), d
 
     Texts are lower-cased from A to Z; a set holds the distinct runs of ``width`` words, or all words if there are
     fewer. Two sets link when intersection / union >= ``least``. Null texts and texts without words have no shingles and
-    link with nothing; rows with one doc_id are told apart by nothing else, so they count as one document linked with
-    all that any of them links with. A null doc_id names no class; its row has the component of rows with an equal set, else null.
-
-    1. Equal sets become one class, named by its smallest doc_id.
-    2. Classes that share a segment of their sketches get into one family (components of stars around segments'
-       smallest classes). Each link lies within a family.
-    3. A family's members are dealt into blocks, and every two blocks meet in a task of their own, where sketches'
-       Hamming distances and then the sets themselves decide. Only links that join something new are kept.
+    link with nothing. Rows with one doc_id and different texts are documents of their own that share a name. A null
+    doc_id names no class; its row has the component of rows with an equal set, else null.
+
+    1. Equal sets are one class, known by a 64-bit key of the set and named by its smallest doc_id.
+    2. Classes that share a segment of their sketches meet: up to FEW of them each with each, where sizes and folded
+       sketches decide whether they can link; of more each with the first. A class that has enough segments in small
+       company to find all its partners there takes no part in large ones.
+    3. What may link is a family (a component), and each link lies within one. A family's members are dealt into blocks,
+       and every two blocks meet in a task of their own, where the sets decide. Only links that join something new stay.
     4. Components of these links name the documents.
-    Two rows of a family meet in one task, but no table of pairs is made, and no group of equal texts, of one segment or
-    of one family comes to one task as a whole.
+    No group of equal texts, of one segment or of one family comes to one task's memory as a whole.
     """
-    rows = scratch(sketched(docs, width, least, doc_id, text), "jaccard-rows")
-    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("class"), F.first("segments").alias("segments"))
-    classes = scratch(classes, "jaccard-classes")
-    parts = classes.select("class", F.explode("segments").alias("segment"))
-    shared = parts.groupBy("segment").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
-    around = parts.join(shared, "segment").groupBy("class").agg(F.min("least").alias("low"), F.collect_set("least").alias("all"))
-    # a class leads to the lowest of its segments' smallest classes, and so do these: few edges, however large a segment
-    stars = around.select(F.col("low").alias("a"), F.explode(F.array_union("all", F.array("class"))).alias("b")).where("a <> b").distinct()
-    families = components(stars).withColumnRenamed("component", "family")
+    rows = scratch(sketched(docs, width, doc_id, text), "jaccard-rows")
+    classes = scratch(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "jaccard-classes")
+    met = scratch(meetings(segments(docs, width, least, doc_id, text)), "jaccard-met")
+    pairs = possible(met.where(F.col("spare") == PAIR).select("a", "b").distinct(), classes, least)
+    crowd = met.where(F.col("spare") != PAIR).groupBy("b", F.col("spare").bitwiseAND(1).alias("up")).agg(F.count("*").alias("n"), F.max(F.shiftright("spare", 1)).alias("can_spare"), F.min("a").alias("low"), F.collect_set("a").alias("all")).where("n > can_spare")
+    # a class leads to the lowest of its segments' first classes, and so do these: few edges, however large a segment
+    stars = crowd.select(F.col("low").alias("a"), F.explode(F.array_union("all", F.array("b"))).alias("b")).where("a <> b").distinct()
+    families = components(pairs.unionByName(stars)).withColumnRenamed("component", "family")
     sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    families = scratch(families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "jaccard-families")
-    body = docs.select(F.col(doc_id).cast("long").alias("node"), text_or_empty(text).alias("text"))
-    members = families.join(body, "node").select("node", "family", "block", "blocks", "text")
+    families = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    families = scratch(families.join(classes.select("key", "class"), F.col("node") == F.col("key")).where("class IS NOT NULL").select("node", "family", "block", "blocks", "class"), "jaccard-families")
+    body = docs.select(F.col(doc_id).cast("long").alias("class"), text_or_empty(text).alias("text"))
+    members = families.join(body, "class").select("node", "family", "block", "blocks", "text")
     schema = "node long, family long, block int, blocks int, shingles array<long>"
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
+        found, keys = [], []
         for _, data, offsets in B.chunks(batch.column(4)):
             shingles, at = shingle_sets(B.LOWER[data], offsets, width)
             found.append(list_array(at, shingles.view(np.int64)))
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.concat_arrays(found)], names=["node", "family", "block", "blocks", "shingles"])
+            keys.append(set_keys(shingles, at))
+        out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.concat_arrays(found)], names=["node", "family", "block", "blocks", "shingles"])
+        return out.filter(pa.array(np.concatenate(keys) == batch.column(0).to_numpy()))
 
-    known = arrow_map(members, sets, schema).where("size(shingles) > 0")
+    known = arrow_map(members, sets, schema)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     meeting = known.select("node", "family", "block", "shingles", other).select("node", "family", "shingles", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["node"])
+        group = group.drop_duplicates("node").sort_values("node")
         found = spanning(group["node"].to_numpy(), [np.asarray(s, dtype=np.int64).view(np.uint64) for s in group["shingles"]], least)
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     links = meeting.groupBy("family", "low", "high").applyInPandas(verify, "a long, b long")
-    joined = components(links.where("a <> b"))
-    names = classes.join(joined, classes["class"] == joined.node, "left").select("k1", "k2", F.coalesce("component", "class").alias("component_id"))
-    named = rows.where("n_shingles > 0").join(names, ["k1", "k2"], "left").select("doc_id", "n_shingles", "component_id")
-    return named.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    joined = components(links)
+    named = scratch(classes.select("key", "class").join(joined, F.col("key") == F.col("node"), "left").select("key", "class", F.coalesce("component", "key").alias("component")), "jaccard-named")
+    names = named.join(named.groupBy("component").agg(F.min("class").alias("component_id")), "component").select("key", "component_id")
+    found = rows.where("n_shingles > 0").join(names, "key", "left").select("doc_id", "n_shingles", "component_id")
+    return found.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -62,7 +62,7 @@ def test_similar_sets_share_a_segment():
                 both = len(np.intersect1d(a, b))
                 if not len(b) or q * both < p * (len(a) + len(b) - both):
                     continue
-                values, begin = jaccard.signatures(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, n, n + len(b)]), least)
+                values, begin, _ = jaccard.signatures(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, n, n + len(b)]), least)
                 assert set(values[: begin[1]].tolist()) & set(values[begin[1] :].tolist())
 
 
