@@ -111,19 +111,24 @@ def gaussian_vectors(df: DataFrame, key: str, seed: str, count: int) -> DataFram
     """(key, v): normal numbers by SplitMix64 and Box-Muller from seed xor the key's hash, clipped to [-6, 6]."""
     keyed = df.select(key, F.col(seed).cast("long").bitwiseXOR(fnv1a_64(F.col(key).cast("string"))).alias("_s"))
 
-    @F.pandas_udf("array<double>")
-    def draw(states: pd.Series) -> pd.Series:
-        n = count + count % 2
-        with np.errstate(over="ignore"):
-            steps = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            z = states.to_numpy().astype(np.int64).view(np.uint64)[:, None] + steps[None, :]
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z = z ^ (z >> np.uint64(31))
-        u = ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
-        radius, angle = np.sqrt(-2 * np.log(u[:, 0::2])), 2 * np.pi * u[:, 1::2]
-        both = np.empty((len(u), n))
-        both[:, 0::2], both[:, 1::2] = radius * np.cos(angle), radius * np.sin(angle)
-        return pd.Series(list(np.clip(both[:, :count], -6, 6)))
-
-    return keyed.select(key, draw("_s").alias("v"))
+    def draw(batches):
+        for batch in batches:
+            yield pd.DataFrame({"k": batch["k"], "v": _normal(batch["s"].to_numpy(), count)})
+
+    kind = df.schema[key].dataType.simpleString()
+    drawn = keyed.select(F.col(key).alias("k"), F.col("_s").alias("s")).mapInPandas(draw, f"k {kind}, v array<double>")
+    return drawn.withColumnRenamed("k", key)
+
+
+def _normal(states: np.ndarray, count: int) -> list[np.ndarray]:
+    n = count + count % 2
+    with np.errstate(over="ignore"):
+        z = states.astype(np.int64).view(np.uint64)[:, None] + (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+    u = ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    radius, angle = np.sqrt(-2 * np.log(u[:, 0::2])), 2 * np.pi * u[:, 1::2]
+    both = np.empty((len(u), n))
+    both[:, 0::2], both[:, 1::2] = radius * np.cos(angle), radius * np.sin(angle)
+    return list(np.clip(both[:, :count], -6, 6))

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from tessel.plans import _registry
 
-MODULES = ("captions", "prompts", "selection", "planning", "scoring", "sources")
+MODULES = ("captions", "prompts", "selection", "planning", "scoring", "sources", "images", "streams")
 
 
 def queries() -> dict:
