@@ -45,7 +45,7 @@ class Threshold:
             self.edges.append(hi)
             most = self.differences(2 * (hi - 1))
             self.most.append(most)
-            self.segments.append(most + (most // 25 + 3 if most else 1))
+            self.segments.append(most + (most // 8 + 6 if most else 1))
 
     def differences(self, sizes: int) -> int:
         """The most elements in which two similar sets of so many together differ."""

@@ -1,5 +1,40 @@
-"""DuckDB SQL for the numbered queries that SQL can express."""
+"""DuckDB SQL for the numbered queries that SQL can express; tests hold the others against plain Python."""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from tessel.llm import secrets
+from tessel.llm.queries import URL_RULES
+
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _spans(k: int, rule: secrets.Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    enough = f"length(regexp_extract(hit, '{pattern}', {rule.group})) >= {rule.least}"
+    return f"""SELECT doc_id, {k} AS rank, '{rule.kind}' AS kind, pos AS start, pos + length(hit) AS stop FROM (
+  SELECT doc_id, hits[i] AS hit, list_sum(list_transform(gaps[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(hits[:i - 1], lambda x: length(x))), 0)::BIGINT AS pos
+  FROM (SELECT doc_id, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{pattern}') AS gaps, regexp_extract_all(coalesce(text, ''), '{pattern}', 0) AS hits FROM documents))) WHERE {enough}"""
+
+
+_LISTED = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop)"
+_COUNTS = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)
+_PER_KIND = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
+
+_RULES = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)
+
+SQL: dict[str, str] = {
+    "op5_secrets": f"""WITH f AS ({" UNION ALL ".join(_spans(k, r) for k, r in enumerate(secrets.RULES))}),
+g AS (SELECT doc_id, {_PER_KIND}, {_LISTED} FILTER (WHERE rank < {len(secrets.BASE)}) AS base, {_LISTED} AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, {_COUNTS}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN g USING (doc_id)""",
+    "op7_urls": f"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), {LETTERS}) AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT * FROM (VALUES {_RULES}) AS t(h, s, v)),
+m AS (SELECT p.*, h || s AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || s) DESC NULLS LAST, v DESC) AS n FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE n = 1""",
+    "op9_jaccard": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE [array_to_string(w, ' ')] END) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT c.a, c.b FROM c JOIN n x ON c.a = x.doc_id JOIN n y ON c.b = y.doc_id WHERE 100 * k >= 90 * (x.n + y.n - k)),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.seen = e.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, low AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(seen) AS low FROM r GROUP BY 1) USING (doc_id)""",
+}
