@@ -76,7 +76,10 @@ def f07_class_reject_reasons(spark, sf_dir):
 WORDS = ["cat", "the", "eau", "sch"]
 
 
-@query(rf"SELECT doc_id FROM documents WHERE {' OR '.join(f'''contains(trim(regexp_replace(replace(lower(text), '+', ' '), '[\s\p{{Z}}]+', ' ', 'g')), '{w}')''' for w in WORDS)}")
+BLOB = r"trim(regexp_replace(replace(lower(text), '+', ' '), '[\s\p{Z}]+', ' ', 'g'))"
+
+
+@query("SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains({BLOB}, '{w}')" for w in WORDS))
 def f01_metadata_prefilter(spark, sf_dir):
     blob = T.normalize_text(F.col("text"))
     docs = table(spark, sf_dir, "documents").select("doc_id", blob.alias("blob"))

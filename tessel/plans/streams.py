@@ -25,12 +25,10 @@ def drained(spark, stream, mode="append"):
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-REASON = F.when(F.col("value") < 20, "low_value").when(F.col("event_type") == "click", "excluded")
-
 
 @query("SELECT event_id, lower(event_type) AS event_type, CASE WHEN value < 20 THEN 'low_value' WHEN event_type = 'click' THEN 'excluded' END AS reject_reason FROM events")
 def x01_streaming_curation(spark, sf_dir):
-    stream = curation.curate(events(spark, sf_dir), {"event_type": F.lower("event_type")}, REASON)
+    stream = curation.curate(events(spark, sf_dir), {"event_type": F.lower("event_type")}, F.when(F.col("value") < 20, "low_value").when(F.col("event_type") == "click", "excluded"))
     return drained(spark, stream.select("event_id", "event_type", "reject_reason"))
 
 
