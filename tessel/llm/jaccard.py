@@ -23,6 +23,8 @@ BITS, MOST_BITS = 1024, 65536
 #: Sets that share a segment are compared each with each up to this many; more meet in a family.
 FEW = 4
 PAIR = -100
+#: A filter of documents' numbers has this power of two of bits at most: 32 MB.
+SIFT_BITS = 28
 
 
 class Threshold:
@@ -289,6 +291,29 @@ def spanning(ids: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[t
     return links
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows (key, text) whose key may be wanted, by a Bloom filter: the join that follows then shuffles few texts.
+
+    The filter has 16 bits a wanted key, SIFT_BITS at most; a fuller one lets more rows pass, and the join drops them.
+    """
+    bits = 1 << min(SIFT_BITS, max(16, int(16 * wanted.count()).bit_length()))
+    places = lambda: [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits)) for i in (1, 2)]
+    marks = wanted.select(F.explode(F.array(*places())).alias("p")).groupBy(F.shiftright("p", 3).cast("int").alias("at"))
+    marks = marks.agg(F.expr("bit_or(shiftleft(1, CAST(p & 7 AS INT)))").alias("b")).toArrow()
+    table = np.zeros(bits >> 3, dtype=np.uint8)
+    table[marks["at"].to_numpy()] = marks["b"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        pass_ = np.ones(batch.num_rows, dtype=bool)
+        for i in (2, 3):
+            p = batch.column(i).to_numpy()
+            pass_ &= shared.value[p >> 3] >> (p & 7).astype(np.uint8) & 1 > 0
+        return pa.RecordBatch.from_arrays(batch.columns[:2], names=[key, "text"]).filter(pa.array(pass_))
+
+    return arrow_map(rows.where(F.col(key).isNotNull()).select(key, "text", *(c.alias(f"p{i}") for i, c in enumerate(places()))), run, f"{key} long, text string")
+
+
 def linked(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every row.
 
@@ -317,7 +342,7 @@ def linked(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10), d
     sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     families = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     families = scratch(families.join(classes.select("key", "class"), F.col("node") == F.col("key")).where("class IS NOT NULL").select("node", "family", "block", "blocks", "class"), "jaccard-families")
-    body = docs.select(F.col(doc_id).cast("long").alias("class"), text_or_empty(text).alias("text"))
+    body = sifted(docs.select(F.col(doc_id).cast("long").alias("class"), text_or_empty(text).alias("text")), families, "class")
     members = families.join(body, "class").select("node", "family", "block", "blocks", "text")
     schema = "node long, family long, block int, blocks int, shingles array<long>"
 
