@@ -146,7 +146,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int = PROB
     3. Balanced lists: centroids of equal halves of a bounded sample, at most MOST_LISTS. Every vector goes to the nearest
        list and, near a border, to others as well; a graph over the centroids finds them.
     4. A query searches its nearest lists, and further ones within a ratio of the nearest centroid's distance. Blocks of
-       neighbouring lists' vectors and of their queries meet in one task each, which gives on the best k.
+       neighbouring lists' vectors and of their queries meet in one task each, which gives on the best k that reach the
+       k-th best product of the sample.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding)
@@ -162,15 +163,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int = PROB
     lists = 1 << max(0, min(MOST_LISTS, facts["n"] // LIST_SIZE).bit_length() - 1)
     most = float(facts["most"])
     sample = unique.select("v", F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE_PER_LIST * lists).toArrow()["v"].combine_chunks()
-    model = spark.sparkContext.broadcast(graph(balanced_centroids(longer(sample, most), lists)))
+    known = longer(sample, most)
+    model = spark.sparkContext.broadcast((graph(balanced_centroids(known, lists)), known[:, :-1]))
 
     def placed(query: bool):
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            g, x = model.value, longer(batch.column(1), 0.0 if query else most)
+            (g, known), x = model.value, longer(batch.column(1), 0.0 if query else most)
             ids, far = g.nearest(x, probes if query else 4 * COPIES)
             take = (ids >= 0) & ((far <= PROBE_RATIO * far[:, :1]) | (np.arange(ids.shape[1]) < LEAST_PROBES)) if query else chosen(g, ids, far, COPIES, COPY_RATIO)
             row, at = np.nonzero(take)
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(ids[row, at].astype(np.int32))], names=["id", "v", "list"])
+            # k others of the sample, or more, reach this product: less is not worth giving on
+            floor = np.full(len(x), -np.inf)
+            if query and len(known) > k:
+                floor = np.partition(x[:, :-1] @ known.T, -(k + 1), axis=1)[:, -(k + 1)]
+                floor -= 1e-9 * (1 + np.abs(floor))
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(ids[row, at].astype(np.int32)), pa.array(floor[row])], names=["id", "v", "list", "floor"])
 
         def each(batches):
             for batch in batches:
@@ -179,7 +186,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int = PROB
 
         return each
 
-    kind = "id long, v array<float>, list int"
+    kind = "id long, v array<float>, list int, floor double"
     together = lambda df: df.withColumn("list", F.floor(F.col("list") / TOGETHER).cast("int")).dropDuplicates(["id", "list"])
     posted = scratch(unique.select(F.col("rep").alias("id"), "v").repartition("id").mapInArrow(placed(False), kind).transform(together), "ann-posted")
     probed = scratch(asked.select(F.col("vec_id").alias("id"), "v").repartition("id").mapInArrow(placed(True), kind).transform(together), "ann-probed")
@@ -188,7 +195,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int = PROB
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
     left = posted.join(both, "list").select("list", own("vector_blocks").alias("a"), every("query_blocks").alias("b"), "id", "v")
-    right = probed.join(both, "list").select("list", every("vector_blocks").alias("a"), own("query_blocks").alias("b"), "id", "v")
+    right = probed.join(both, "list").select("list", every("vector_blocks").alias("a"), own("query_blocks").alias("b"), "id", "v", "floor")
 
     def meet(these: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
         if not len(these) or not len(those):
@@ -198,7 +205,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int = PROB
         order = np.argsort(ids, kind="stable")
         scores, ids = scores[:, order], ids[order]
         best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
-        return pd.DataFrame({"query_id": np.repeat(those["id"].to_numpy(), best.shape[1]), "rep": ids[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
+        top = np.take_along_axis(scores, best, 1)
+        row, at = np.nonzero(top >= those["floor"].to_numpy()[:, None])
+        return pd.DataFrame({"query_id": those["id"].to_numpy()[row], "rep": ids[best[row, at]], "score": top[row, at]})
 
     keys = ["list", "a", "b"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, rep long, score double")
