@@ -14,7 +14,7 @@ from tessel.llm._common import list_array, scratch, small_batches
 
 #: Bytes of context at most.
 ORDER = 5
-#: Runs of bytes rarer than this share of all are no nodes of the trie, so it has at most 1 / SHARE nodes of each length.
+#: Runs of bytes rarer than this share of all are not broadcast but joined; there are at most 1 / SHARE others.
 SHARE = 2.0**-21
 #: Share of a count that each distinct byte gives to the escape.
 DISCOUNT = 0.5
@@ -86,7 +86,7 @@ def corpus_counts(docs: DataFrame, order: int, text: str) -> DataFrame:
                 held[0].append(np.unique(grams(frame, at, order), return_counts=True))
                 held[1].append(np.unique(text_words(data, offsets)[0], return_counts=True))
                 for kind, parts in held.items():
-                    if len(parts) > 16:
+                    if sum(len(keys) for keys, _ in parts) > 2 * HELD:
                         held[kind] = [_merged(parts)]
                         if len(held[kind][0][0]) > HELD:
                             yield out(kind, *held[kind].pop())
@@ -209,20 +209,64 @@ class Trie:
         return out
 
 
-def trie(counted: DataFrame, order: int = ORDER, share: float = SHARE) -> Trie:
-    """From kind-0 counts: each level sums the longer one's runs without their first byte; rare runs are left out."""
-    level = counted.where("kind = 0").select("key", "n")
-    total = level.agg(F.sum("n")).first()[0] or 0
+def levels_of(counted: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """From kind-0 counts: key and n of the runs of k + 1 bytes at k; each sums the longer ones without their first byte."""
+    levels = [counted.where("kind = 0").select("key", "n")]
+    for k in range(order - 1, -1, -1):
+        shorter = levels[-1].groupBy(F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")).agg(F.sum("n").alias("n"))
+        levels.append(scratch(shorter, "lm-level"))
+    return levels[::-1]
+
+
+def trie(counted: DataFrame, order: int = ORDER) -> Trie:
+    """The whole model of a small corpus in memory; ``score`` works without."""
     levels = []
-    for k in range(order, -1, -1):
-        if k < order:
-            level = level.groupBy(F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("key")).agg(F.sum("n").alias("n"))
-        level = scratch(level, "lm-level")
-        kept = level.where(F.col("n") >= share * total).toArrow()
+    for level in levels_of(counted, order):
+        kept = level.toArrow()
         keys, n = kept["key"].to_numpy().view(np.uint64), kept["n"].to_numpy()
         by = np.argsort(keys)
         levels.append((keys[by], n[by]))
-    return Trie(levels[::-1])
+    return Trie(levels)
+
+
+# --- runs -----------------------------------------------------------------------------------------------------------
+
+
+def contexts(level: DataFrame) -> DataFrame:
+    """Each context of a level's runs, with the bytes it has and their counts."""
+    return level.groupBy(F.shiftright("key", 8).alias("context")).agg(F.collect_list(F.struct(F.col("key").bitwiseAND(255).alias("byte"), "n")).alias("bytes"))
+
+
+def seen_runs(longest: DataFrame) -> DataFrame:
+    """key, n and logp of all runs that the longest contexts have."""
+    total = F.aggregate("bytes", F.lit(0).cast("long"), lambda t, x: t + x["n"])
+    each = longest.select("context", F.log10(total).alias("whole"), F.explode("bytes").alias("x"))
+    return each.select(F.shiftleft("context", 8).bitwiseOR(F.col("x.byte")).alias("key"), "x.n", (F.log10(F.col("x.n") - DISCOUNT) - F.col("whole")).alias("logp"))
+
+
+def unseen_runs(runs: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """key and logp of runs that the longest context lacks: they escape from context to context, by joins.
+
+    ``tables`` has the contexts by length. Contexts of up to two bytes are 65,793 at most and broadcast: as keys of a
+    join, few of them would stand for all runs.
+    """
+    state = runs.select("key", F.lit(0.0).alias("escaped"), F.array().cast("array<long>").alias("gone"), F.lit(None).cast("double").alias("logp"))
+    zero = F.lit(0).cast("long")
+    for k in range(len(tables) - 1, -1, -1):
+        table = F.broadcast(tables[k]) if k <= 2 else tables[k]
+        at = state.withColumn("context", F.shiftright("key", 8).bitwiseAND((1 << (8 * k)) - 1)).join(table, "context", "left")
+        sums = F.aggregate(
+            "bytes", F.struct(zero.alias("total"), zero.alias("kinds"), zero.alias("own")),
+            lambda a, x: F.when(F.array_contains("gone", x["byte"]), a).otherwise(F.struct((a["total"] + x["n"]).alias("total"), (a["kinds"] + 1).alias("kinds"), F.when(x["byte"] == F.col("key").bitwiseAND(255), x["n"]).otherwise(a["own"]).alias("own"))),
+        )
+        at = at.withColumn("s", F.when(F.col("logp").isNull(), sums))
+        whole = F.log10("s.total")
+        state = at.select(
+            "key", F.when(F.col("s.total") > 0, F.col("escaped") + F.log10(DISCOUNT * F.col("s.kinds")) - whole).otherwise(F.col("escaped")).alias("escaped"),
+            F.coalesce(F.col("bytes.byte"), F.col("gone")).alias("gone"),
+            F.coalesce(F.col("logp"), F.when(F.col("s.own") > 0, F.col("escaped") + F.log10(F.col("s.own") - DISCOUNT) - whole)).alias("logp"),
+        )
+    return state.select("key", F.coalesce("logp", F.col("escaped") - F.log10(F.greatest(256.0 - F.size("gone"), F.lit(1.0)))).alias("logp"))
 
 
 # --- scores ---------------------------------------------------------------------------------------------------------
@@ -236,9 +280,9 @@ def score(docs: DataFrame, learn_from: Column, order: int = ORDER, share: float
     smoothed unigram model of these rows. Null texts are empty and have an end only; without rows to learn from, bytes
     are equally likely. Repeated rows are learned from, and scored, each. Words count by 64-bit hashes.
 
-    Counts combine in the tasks before the shuffle. The trie holds runs of bytes that make up ``share`` of the corpus or
-    more, so its size is bounded at any scale; it and the words above ``head`` are broadcast. Rarer words meet their
-    counts in a join.
+    Counts combine in the tasks before the shuffle. Scores of runs of bytes that make up ``share`` of the corpus or more,
+    and the words above ``head``, are broadcast, so that is bounded at any scale. Rarer words meet their counts, and rarer
+    runs their scores, in joins; the scores are worked out for each distinct run from the counts of all runs.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(learn_from, F.lit(False)).alias("learn"), F.col(text).alias("text"))
@@ -250,23 +294,33 @@ def score(docs: DataFrame, learn_from: Column, order: int = ORDER, share: float
     words = counted.where("kind = 1").select("key", "n")
     frequent = words.where(F.col("n") >= head * n_all).toArrow()
     keys, counts = frequent["key"].to_numpy().view(np.uint64), frequent["n"].to_numpy()
-    model = spark.sparkContext.broadcast((trie(counted, order, share), Table(keys), np.concatenate([[0], counts])))
+    levels = levels_of(counted, order)
+    longest = scratch(contexts(levels[order]), "lm-contexts")
+    seen = seen_runs(longest)
+    least = share * (levels[0].agg(F.sum("n")).first()[0] or 0)
+    common = seen.where(F.col("n") >= least).select("key", "logp").toArrow()
+    runs, logps = common["key"].to_numpy().view(np.uint64), common["logp"].to_numpy()
+    model = spark.sparkContext.broadcast((Table(runs), np.concatenate([[0.0], logps]), Table(keys), np.concatenate([[0], counts])))
     small_batches(spark)
     end_score = float(np.log10(ends + 0.5)) - denominator
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, common double, rare array<long>, runs array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, index, numbers = model.value
+        places, logp, index, numbers = model.value
         logs = np.log10(numbers + 0.5) - denominator
         for batch in batches:
             if not batch.num_rows:
                 continue
-            known, base, scores, tokens, rare = [], [], [], [], []
+            known, base, scores, tokens, rare, others = [], [], [], [], [], []
             for _, data, offsets in B.chunks(batch.column(2)):
                 data = B.LOWER[data]
                 frame, at = framed(data, offsets, order)
-                begin = offsets[:-1] + np.arange(len(offsets) - 1)
-                scores.append(np.add.reduceat(tree.score(grams(frame, at, order)), begin))
+                begin = offsets + np.arange(len(offsets))
+                run = grams(frame, at, order)
+                place = places.find(run)
+                scores.append(np.add.reduceat(logp[place], begin[:-1]))
+                before = np.concatenate([[0], np.cumsum(place == 0)])
+                others.append(list_array(before[begin], run[place == 0].view(np.int64)))
                 hashes, first = text_words(data, offsets)
                 found = index.find(hashes)
                 sums = np.concatenate([[0.0], np.cumsum(np.where(found > 0, logs[found], 0.0))])
@@ -278,15 +332,20 @@ def score(docs: DataFrame, learn_from: Column, order: int = ORDER, share: float
                 rare.append(list_array(misses[first], hashes[found == 0].view(np.int64)))
             join = np.concatenate
             held_out = pa.compute.invert(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), held_out, *(pa.array(join(x)) for x in (tokens, known, base, scores)), pa.concat_arrays(rare)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), held_out, *(pa.array(join(x)) for x in (tokens, known, base, scores)), pa.concat_arrays(rare), pa.concat_arrays(others)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "common", "rare", "runs"])
 
     scored = rows.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id())
     scored = scratch(scored, "lm-scored")
     tail = scored.select("_row", F.explode("rare").alias("key")).join(words.where(F.col("n") < head * n_all), "key")
     tail = tail.groupBy("_row").agg(F.count("*").alias("found"), F.sum(F.log10(F.col("n") + 0.5)).alias("logs"))
-    both = scored.select("*", F.size("rare").alias("n_rare")).drop("rare").join(tail, "_row", "left")
+    others = scored.select("_row", F.explode("runs").alias("key"))
+    looked_up = scratch(others.select("key").distinct().join(seen.where(F.col("n") < least).select("key", "logp"), "key", "left"), "lm-runs")
+    missed = unseen_runs(looked_up.where("logp IS NULL").select("key"), [contexts(x) for x in levels[:order]] + [longest])
+    joined = others.join(looked_up.where("logp IS NOT NULL").unionByName(missed), "key").groupBy("_row").agg(F.sum("logp").alias("joined"))
+    both = scored.select("*", F.size("rare").alias("n_rare")).drop("rare", "runs").join(tail, "_row", "left").join(joined, "_row", "left")
     found, logs = F.coalesce("found", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     return both.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + found).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + logs + (F.col("n_rare") - found) * float(np.log10(0.5)) - F.col("n_rare") * denominator).alias("base_score"), "score",
+        (F.col("base") + logs + (F.col("n_rare") - found) * float(np.log10(0.5)) - F.col("n_rare") * denominator).alias("base_score"),
+        (F.col("common") + F.coalesce("joined", F.lit(0.0))).alias("score"),
     )

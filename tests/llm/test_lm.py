@@ -69,3 +69,12 @@ def test_probabilities_add_up(spark):
     for context in (b"ab", b"\xff\xff", b"he", b"qq", b"a\xff"):
         runs = np.array([context[0] << 16 | context[1] << 8 | s for s in range(256)], dtype=np.uint64)
         assert math.isclose((10.0 ** tree.score(runs)).sum(), 1.0, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("share", [2.0, 0.002, 0.0])
+def test_rare_runs_count(spark, share):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    clean = lambda t: (t or "").translate(brute.LOW).encode()
+    train = [clean(t) for i, t in TEXTS if learned(i)]
+    rows = lm.score(docs, queries.remainder("doc_id", 5) != 1, share=share).collect()
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in rows) == sorted((str(i), round(ppm(train, clean(t), lm.ORDER), 6)) for i, t in TEXTS)
