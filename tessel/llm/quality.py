@@ -24,10 +24,10 @@ CORE = 0.75
 STEPS = 4
 #: Median and upper 0.1 % point of chi-squared with four degrees of freedom.
 CHI_MEDIAN, CHI_TOP = 3.3567, 18.467
-#: Squared distances over this many times the upper point are outliers: clean texts have heavier tails than a normal law.
-TIMES = 8.0
-#: Groups of fewer rows have no estimate; their rows are kept.
-LEAST_ROWS = 100
+#: Rows that a language's estimate counts for in its groups', and the whole corpus's in a language's.
+PRIOR_ROWS = 100
+#: Key of the whole corpus; those of languages are empty or begin with "=".
+WHOLE = "*"
 DIMENSIONS = list(RATES)
 
 
@@ -115,46 +115,84 @@ def _factored(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.array(*(F.col(f"mean_{i}") for i in range(d))).alias("center"), F.array(*(F.col(f"l_{i}_{j}") for i in range(d) for j in range(i + 1))).alias("factor"))
 
 
-def fit(counted: DataFrame) -> DataFrame:
-    """group, medians, center, factor and limit for each group of LEAST_ROWS rows or more.
+def _concentrated(vectors: DataFrame) -> DataFrame:
+    """key, n, center and cov (the lower triangle) of each key's rows, by minimum covariance determinant.
 
-    ``counted`` has group and q. Minimum covariance determinant by concentration: from medians and median deviations,
-    each of STEPS rounds takes the CORE share of rows nearest in Mahalanobis distance and sets center and scatter to
-    theirs. In the end the distances' median is matched with that of chi-squared, so that limit fits any scale. Each
-    round is an aggregate by group of narrow rows, written to the shared folder; counts of every row take part.
+    From medians and median deviations, each of STEPS rounds takes the CORE share of rows nearest in Mahalanobis distance
+    and sets center and scatter to theirs. In the end the scatter is widened until the distances' median is no more than
+    that of chi-squared. Each round is an aggregate of narrow rows, written to the shared folder; every row takes part.
     """
-    rows = counted.where("q.n_words > 0")
-    per_word = [F.percentile_approx(F.col(f"q.{count}") / F.col("q.n_words"), 0.5, 10_000).alias(name) for name, (count, _) in RATES.items()]
-    medians = rows.groupBy("group").agg(F.count("*").alias("n"), F.struct(*per_word).alias("medians")).where(F.col("n") >= LEAST_ROWS).drop("n")
-    medians = scratch(medians, "quality-medians")
-    vectors = scratch(rows.join(medians, "group").select("group", *_rates(F.col("q"), F.col("medians"))), "quality-vectors")
     x = [F.col(c) for c in DIMENSIONS]
     d = len(x)
-    first = vectors.groupBy("group").agg(*(F.percentile_approx(c, 0.5, 10_000).alias(f"mean_{i}") for i, c in enumerate(x)))
-    spread = vectors.join(first, "group").groupBy("group").agg(*(F.percentile_approx(F.abs(c - F.col(f"mean_{i}")), 0.5, 10_000).alias(f"mad_{i}") for i, c in enumerate(x)))
-    start = first.join(spread, "group")
+    first = vectors.groupBy("key").agg(*(F.percentile_approx(c, 0.5, 10_000).alias(f"mean_{i}") for i, c in enumerate(x)))
+    spread = vectors.join(first, "key").groupBy("key").agg(*(F.percentile_approx(F.abs(c - F.col(f"mean_{i}")), 0.5, 10_000).alias(f"mad_{i}") for i, c in enumerate(x)))
+    start = first.join(spread, "key")
     start = start.withColumns({f"cov_{i}_{j}": F.pow(1.4826 * F.col(f"mad_{i}"), 2) if i == j else F.lit(0.0) for i in range(d) for j in range(i + 1)})
-    estimate = scratch(_factored(start, ["group"]), "quality-start")
+    estimate = scratch(_factored(start, ["key"]), "quality-start")
     for _ in range(STEPS):
-        at = vectors.join(estimate, "group").select("group", *DIMENSIONS, "center", distance(x, F.struct("center", "factor")).alias("d2"))
-        near = at.groupBy("group").agg(F.percentile_approx("d2", CORE, 10_000).alias("most"))
-        core = at.join(near, "group").where("d2 <= most")
+        at = vectors.join(estimate, "key").select("key", *DIMENSIONS, "center", distance(x, F.struct("center", "factor")).alias("d2"))
+        near = at.groupBy("key").agg(F.percentile_approx("d2", CORE, 10_000).alias("most"))
+        core = at.join(near, "key").where("d2 <= most")
         off = [c - F.col("center")[i] for i, c in enumerate(x)]
-        sums = core.groupBy("group").agg(
+        sums = core.groupBy("key").agg(
             F.first("center").alias("old"), F.count("*").alias("n"), *(F.sum(off[i]).alias(f"s_{i}") for i in range(d)), *(F.sum(off[i] * off[j]).alias(f"s_{i}_{j}") for i in range(d) for j in range(i + 1))
         )
         new = sums.select(
-            "group", *((F.col("old")[i] + F.col(f"s_{i}") / F.col("n")).alias(f"mean_{i}") for i in range(d)),
+            "key", *((F.col("old")[i] + F.col(f"s_{i}") / F.col("n")).alias(f"mean_{i}") for i in range(d)),
             *((F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * F.col(f"s_{j}") / F.col("n")).alias(f"cov_{i}_{j}") for i in range(d) for j in range(i + 1)),
         )
-        estimate = scratch(_factored(new, ["group"]), "quality-step")
-    ends = vectors.join(estimate, "group").groupBy("group").agg(F.percentile_approx(distance(x, F.struct("center", "factor")), 0.5, 10_000).alias("median"))
-    limit = F.greatest(F.col("median") / CHI_MEDIAN, F.lit(1.0)) * CHI_TOP * TIMES
-    return scratch(estimate.join(ends, "group").join(medians, "group").select("group", "medians", "center", "factor", limit.alias("limit")), "quality-estimates")
+        estimate = scratch(_factored(new, ["key"]), "quality-step")
+    ends = vectors.join(estimate, "key").groupBy("key").agg(F.count("*").alias("n"), F.percentile_approx(distance(x, F.struct("center", "factor")), 0.5, 10_000).alias("median"))
+    scale = F.greatest(F.col("median") / CHI_MEDIAN, F.lit(1.0))
+    f = lambda i, j: F.col("factor")[i * (i + 1) // 2 + j]
+    cov = [scale * sum((f(i, k) * f(j, k) for k in range(1, j + 1)), f(i, 0) * f(j, 0)) for i in range(d) for j in range(i + 1)]
+    return scratch(estimate.join(ends, "key").select("key", "n", "center", F.array(*cov).alias("cov")), "quality-concentrated")
+
+
+def _share(n: Column) -> Column:
+    return n / (n + PRIOR_ROWS)
+
+
+def _pooled(own: str, wide: str) -> list[Column]:
+    """center and cov of the struct ``own`` drawn towards those of ``wide``, with the spread between both centers."""
+    d, w = len(DIMENSIONS), _share(F.col(f"{own}.n"))
+    mix = lambda name, i: w * F.col(f"{own}.{name}")[i] + (1 - w) * F.col(f"{wide}.{name}")[i]
+    apart = [F.col(f"{own}.center")[i] - F.col(f"{wide}.center")[i] for i in range(d)]
+    cov = [mix("cov", i * (i + 1) // 2 + j) + w * (1 - w) * apart[i] * apart[j] for i in range(d) for j in range(i + 1)]
+    return [F.array(*(mix("center", i) for i in range(d))).alias("center"), F.array(*cov).alias("cov")]
+
+
+def fit(counted: DataFrame) -> DataFrame:
+    """group, medians, center, factor and limit for each group that has words.
+
+    ``counted`` has group and q. Groups, languages and the whole corpus are estimated alike; a language's numbers are
+    drawn towards the corpus's, and a group's towards its language's, with the weight of PRIOR_ROWS rows. So groups of
+    any size are judged. The limit is the upper 0.1 % point of chi-squared.
+    """
+    rows = counted.where("q.n_words > 0").withColumn("lang", F.substring_index("group", "\x1f", 1))
+    wider = F.explode(F.array("lang", F.lit(WHOLE))).alias("key")
+    per_word = [F.count("*").alias("n"), *(F.percentile_approx(F.col(f"q.{count}") / F.col("q.n_words"), 0.5, 10_000).alias(name) for name, (count, _) in RATES.items())]
+    wide = scratch(rows.select(wider, "q").groupBy("key").agg(*per_word), "quality-wide")
+    toward = lambda own, other: [(_share(F.col(f"{own}.n")) * F.col(f"{own}.{c}") + (1 - _share(F.col(f"{own}.n"))) * F.col(f"{other}.{c}")).alias(c) for c in DIMENSIONS]
+    whole = F.broadcast(wide.where(F.col("key") == WHOLE).alias("w"))
+    languages = wide.where(F.col("key") != WHOLE).alias("l").crossJoin(whole).select(F.col("l.key").alias("lang"), *toward("l", "w"))
+    groups = rows.groupBy("group", "lang").agg(*per_word).alias("g").join(languages.alias("l"), F.col("g.lang") == F.col("l.lang"))
+    medians = scratch(groups.select("group", F.struct(*toward("g", "l")).alias("medians")), "quality-medians")
+    vectors = scratch(rows.join(medians, "group").select("group", "lang", *_rates(F.col("q"), F.col("medians"))), "quality-vectors")
+    wide = _concentrated(scratch(vectors.select(wider, *DIMENSIONS), "quality-wider"))
+    whole = F.broadcast(wide.where(F.col("key") == WHOLE).alias("w"))
+    languages = wide.where(F.col("key") != WHOLE).alias("l").crossJoin(whole).select(F.col("l.key").alias("lang"), *_pooled("l", "w"))
+    groups = _concentrated(vectors.select(F.col("group").alias("key"), *DIMENSIONS)).withColumn("lang", F.substring_index("key", "\x1f", 1))
+    drawn = groups.alias("g").join(languages.alias("l"), F.col("g.lang") == F.col("l.lang")).select(F.col("g.key").alias("group"), *_pooled("g", "l"))
+    d, floors = len(DIMENSIONS), [floor for _, floor in RATES.values()]
+    # the floors are in cov already, and _factored adds them
+    parts = {f"mean_{i}": F.col("center")[i] for i in range(d)} | {f"cov_{i}_{j}": F.col("cov")[i * (i + 1) // 2 + j] - (floors[i] ** 2 if i == j else 0.0) for i in range(d) for j in range(i + 1)}
+    estimate = _factored(drawn.select("group", *(c.alias(name) for name, c in parts.items())), ["group"])
+    return scratch(estimate.join(medians, "group").select("group", "medians", "center", "factor", F.lit(CHI_TOP).alias("limit")), "quality-estimates")
 
 
 def kept(q: Column, e: Column) -> Column:
-    """False for texts that fail the base rules or lie beyond their group's limit; groups without an estimate keep theirs."""
+    """False for texts that fail the base rules or lie beyond their group's limit."""
     return ~base_failed(q) & F.coalesce(distance(_rates(q, e["medians"]), e) <= e["limit"], F.lit(True))
 
 

@@ -1,6 +1,7 @@
 """Licenses, secrets, URL filters and quality rules against plain Python."""
 
 import math
+import zlib
 
 import brute
 import pytest
@@ -92,6 +93,14 @@ def test_outliers_of_a_group_go_and_small_groups_stay(spark):
     assert left.columns == docs.columns and 1000 not in {r.doc_id for r in left.collect()}
 
 
+def test_small_groups_are_judged(spark):
+    plain = lambda i: " ".join(format(zlib.crc32(f"{i} {j}".encode()), "x")[: 2 + (i + j) % 6] for j in range(120))
+    odd = lambda i: " ".join(["##$$%%" + c for c in plain(i).split()])
+    rows = [(i, plain(i), "en", f"s{i % 30}") for i in range(300)] + [(1000, odd(3), "en", "s1"), (1001, odd(4), "en", "alone"), (1002, odd(5), None, None)]
+    found = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("NOT base_failed")
+    assert {r.doc_id for r in found.where("NOT kept").collect()} == {1000, 1001, 1002}
+
+
 def test_distance_is_mahalanobis(spark):
     import numpy as np
 
