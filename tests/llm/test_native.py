@@ -74,6 +74,15 @@ def test_redacted_texts_hold_no_secret(spark, odd):
     assert all(not secrets_left for t in texts.values() for secrets_left in [brute.secrets(t)[1] + brute.secrets(t)[2]])
 
 
+def test_bodies_of_private_keys_go(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join("MIIEow" + format(i, "058x") for i in range(900)) + "\nQk1=\n"
+    headers = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,3F17F5316E2BAC89\n\n"
+    rows = [(1, f"a {begin}\n{body}{end} b"), (2, f"a {begin}{headers}{body}{end} b"), (3, f"a {begin}\n{body}and words, b"), (4, f"a {begin} and words"), (5, f"a {begin}\\nMIIEow{'ab' * 30}\\nQk1=\\n{end} b")]
+    texts = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert texts == {1: "a [SECRET] b", 2: "a [SECRET] b", 3: "a [SECRET]\nand words, b", 4: "a [SECRET] and words", 5: "a [SECRET] b"}
+
+
 @pytest.mark.parametrize("real", [True, False])
 def test_quality_counts(spark, odd, real):
     docs = table(spark, "documents") if real else odd
