@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessel.llm._common import text_or_empty
+from tessel.llm._common import fresh_path, scratch, text_or_empty
 
 
 class Rule(NamedTuple):
@@ -39,69 +40,97 @@ MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE + MORE
+#: A ledger's row: a blob, the kinds and versions of rules that it was scanned for, and what these found.
+LEDGER = "blob string, scanned array<struct<kind:string,version:int>>, found array<struct<kind:string,version:int,start:int,end:int>>"
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+#: Cuts up to which a text is taken apart by substrings; each of these walks the text from its start.
+FEW_CUTS = 64
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Where a rule's matches lie in a text, leftmost first and without overlap, in code points."""
-    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    between = F.split(text, rule.pattern, -1)
-    ends = F.aggregate(
-        F.arrays_zip(between.alias("gap"), matches.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("all")),
-        lambda done, x: F.struct(
-            (done["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(x["hit"].isNull(), done["all"]).otherwise(F.array_append(done["all"], F.struct((done["at"] + F.length(x["gap"])).alias("start"), (done["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("hit")))).alias("all"),
-        ),
-        lambda done: done["all"],
-    )
-    kept = F.filter(ends, lambda x: F.length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) >= rule.least) if rule.least else ends
-    return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), x["end"].alias("end")))
+def _pair(rule: Rule) -> Column:
+    return F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"))
 
 
-def suspect(text: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """True where any rule can match at all."""
-    return text.rlike("|".join(f"(?:{r.pattern})" for r in rules))
+def _pairs(rules: Sequence[Rule]) -> Column:
+    return F.array(*map(_pair, rules))
+
+
+def addressed(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Each content (blob, text) once, null texts being empty; equal contents meet in the tasks, before the shuffle."""
+    body = text_or_empty(text)
+    return docs.select(F.sha2(body.cast("binary"), 256).alias("blob"), body.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+
+
+def _matches(text: Column, rule: Rule, rank: int) -> Column:
+    """A rule's matches in a text, leftmost first and without overlap: characters since the last one, and their own."""
+    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    parts = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
+    all_ = F.filter(F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit"), parts.alias("part")), lambda x: x["hit"].isNotNull())
+    return F.transform(all_, lambda x: F.struct(F.lit(rank).alias("rank"), F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("size"), (F.length(x["part"]) >= rule.least).alias("enough")))
 
 
 def scan(blobs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """New ledger entries (blob, kind, version, spans) for the (blob, text) rows that the ledger lacks.
+    """New ledger rows for the (blob, text) rows, one a blob, that lack a pair of blob and rule version in the ledger.
 
-    A pair of blob and rule version that the ledger has is not scanned again. Every scanned pair gets an entry, with no
-    spans where nothing was found.
+    A pair that the ledger has is not scanned again. Every pair that is scanned gets an entry, with no spans where nothing
+    was found. Matches are placed by running sums of lengths, so that many of them in one text cost no more than sorting.
     """
-    wanted = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
-    todo = blobs.select("blob", "text", wanted.alias("todo"))
+    todo = blobs.select("blob", "text", _pairs(rules).alias("todo"))
     if ledger is not None:
-        seen = ledger.groupBy("blob").agg(F.collect_set(F.struct("kind", "version")).alias("seen"))
+        seen = ledger.select("blob", F.explode("scanned").alias("pair")).groupBy("blob").agg(F.collect_set("pair").alias("seen"))
         todo = todo.join(seen, "blob", "left").select("blob", "text", F.coalesce(F.array_except("todo", "seen"), "todo").alias("todo")).where(F.size("todo") > 0)
-    none = F.array().cast(SPANS)
-    each = [F.when(F.array_contains("todo", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(F.col("text").rlike(r.pattern), spans(F.col("text"), r, k)).otherwise(none).alias("spans"))) for k, r in enumerate(rules)]
-    return todo.select("blob", F.explode(F.array_compact(F.array(*each))).alias("x")).select("blob", "x.*")
+    none = F.array().cast("array<struct<rank:int,gap:int,size:int,enough:boolean>>")
+    body = F.col("text")
+    wanted = [F.when(F.array_contains("todo", _pair(r)) & body.rlike(r.pattern), _matches(body, r, k)).otherwise(none) for k, r in enumerate(rules)]
+    each = todo.select("blob", "todo", F.posexplode_outer(F.flatten(F.array(*wanted))).alias("pos", "x"))
+    ends = F.sum(F.col("x.gap") + F.col("x.size")).over(Window.partitionBy("blob", "x.rank").orderBy("pos")).cast("int")
+    placed = each.select("blob", "todo", "x", ends.alias("end"))
+    pair = F.element_at(_pairs(rules), F.col("x.rank") + 1)
+    span = F.struct(pair["kind"].alias("kind"), pair["version"].alias("version"), (F.col("end") - F.col("x.size")).alias("start"), "end")
+    return placed.groupBy("blob").agg(F.first("todo").alias("scanned"), F.collect_list(F.when(F.col("x.enough"), span)).alias("found"))
 
 
-def unique_blobs(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """Each content (blob, text) once that any rule can match; equal contents meet before the shuffle already."""
-    body = text_or_empty(text)
-    return docs.select(F.sha2(body.cast("binary"), 256).alias("blob"), body.alias("text")).where(suspect(F.col("text"), rules)).groupBy("blob").agg(F.first("text").alias("text"))
+def opened(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger kept at ``path``, an empty one where there is none yet."""
+    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
 
 
-def findings(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """blob and its spans (start, rank, kind, end; by start, then in the order of the rules) for contents with any."""
-    entries = scan(unique_blobs(docs, rules, text), rules, ledger)
-    if ledger is not None:
-        known = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
-        entries = entries.unionByName(ledger.where(F.array_contains(known, F.struct("kind", "version"))))
-    return entries.where(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+def brought_up(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
+    """The ledger at ``path`` with entries for all contents of ``docs``; only what it lacks is scanned and appended."""
+    spark = docs.sparkSession
+    blobs = addressed(docs, text)
+    known = opened(spark, path)
+    scan(blobs, rules, None if known.isEmpty() else known).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
 
+def findings(ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """blob and its spans (start, rank, kind, end; by start, then in the order of the rules) for contents with any.
 
-def secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    Only entries of these rules' versions count; one that stands twice counts once.
+    """
+    known = F.array_contains(_pairs(rules), F.struct("x.kind", "x.version"))
+    rank = (F.array_position(F.array(*(F.lit(r.kind) for r in rules)), F.col("x.kind")) - 1).cast("int").alias("rank")
+    each = ledger.select("blob", F.explode("found").alias("x")).where(known).select("blob", "x.start", rank, "x.kind", "x.end").distinct()
+    return each.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("spans"))
+
+
+def _found(docs: DataFrame, rules: Sequence[Rule], ledger: str | None, text: str) -> DataFrame:
+    """Written findings: the join with all paths then knows how large they are."""
+    path = ledger or fresh_path(docs.sparkSession, "secrets-ledger")
+    return scratch(findings(brought_up(docs, path, rules, text), rules), "secrets-findings")
+
+
+def secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, blob and spans of every row: findings of each content, joined back to all rows that have it.
 
-    Null texts are empty. Rows without secrets have an empty list; equal rows get equal lists; empty tables give none.
+    ``ledger`` is the path of a ledger that is kept from run to run, in a folder that all machines share; without one, a
+    new ledger is written below the shared folder. Null texts are empty. Rows without secrets have an empty list; equal
+    rows get equal lists; empty tables give none.
     """
     paths = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(text_or_empty(text).cast("binary"), 256).alias("blob"))
-    return paths.join(findings(docs, rules, ledger, text), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return paths.join(_found(docs, rules, ledger, text), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def listed(found: Column) -> Column:
@@ -109,27 +138,35 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[SECRET]", text: str = "text") -> DataFrame:
+def _cuts(found: DataFrame) -> DataFrame:
+    """blob and cuts (start, end) in order, from its spans: overlapping ones are one cut."""
+    each = found.select("blob", F.explode("spans").alias("x")).select("blob", "x.start", "x.end")
+    order = Window.partitionBy("blob").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("new", F.when(F.col("start") < before, 0).otherwise(1)).withColumn("cut", F.sum("new").over(order))
+    merged = each.groupBy("blob", "cut").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merged.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+
+
+def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[SECRET]", ledger: str | None = None, text: str = "text") -> DataFrame:
     """The same rows and columns, with every secret in the text replaced by ``mark``; overlapping ones become one mark.
 
-    Rows in which no rule can match stay as they are, null texts too, and are not shuffled.
+    Rows without secrets stay as they are, null texts too; equal rows get equal texts; empty tables give none. ``ledger``
+    as in ``secrets``.
     """
-    body = F.col(text)
-    some = F.coalesce(suspect(body, rules), F.lit(False))
-    held = docs.select(F.struct(*docs.columns).alias("_row"), F.sha2(body.cast("binary"), 256).alias("blob"), some.alias("_some"))
-    hit = held.where("_some").join(findings(docs, rules, None, text), "blob", "left").select("_row", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
-    merged = F.aggregate(
-        F.col("spans"), F.array().cast("array<struct<start:int,end:int>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (x["start"] < F.get(done, F.size(done) - 1)["end"]),
-            F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.struct(F.get(done, F.size(done) - 1)["start"].alias("start"), F.greatest(F.get(done, F.size(done) - 1)["end"], x["end"]).alias("end"))),
-        ).otherwise(F.array_append(done, F.struct(x["start"].alias("start"), x["end"].alias("end")))),
-    )
-    hit = hit.select("_row", F.array(merged).alias("_cuts"))
+    column = lambda c: F.col(f"`{c}`")
+    held = docs.select(F.struct(*map(column, docs.columns)).alias("_row"), F.sha2(text_or_empty(column(text)).cast("binary"), 256).alias("blob"))
+    both = held.join(scratch(_cuts(_found(docs, rules, ledger, text)), "secrets-cuts"), "blob", "left").select("_row", "cuts")
     old = F.col(f"_row.`{text}`")
-    pieces = F.flatten(F.transform("_cuts", lambda cuts: F.transform(
-        F.sequence(F.lit(0), F.size(cuts)),
-        lambda i: old.substr(F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0)) + 1, F.coalesce(F.get(cuts, i)["start"], F.length(old)) - F.coalesce(F.get(cuts, i - 1)["end"], F.lit(0))),
-    )))
-    new = hit.select(*(F.array_join(pieces, mark).alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
-    return held.where(~F.col("_some")).select("_row.*").unionByName(new)
+
+    def kept(taken):
+        """What stands before each cut, and after the last."""
+        n = F.size("cuts")
+        end = lambda i: F.coalesce(F.get("cuts", i - 1)["end"], F.lit(0))
+        start = lambda i: F.coalesce(F.get("cuts", i)["start"], F.length(old))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: taken(end(i), start(i) - end(i))), mark)
+
+    few = kept(lambda at, n: old.substr(at + 1, n))
+    many = F.get(F.transform(F.array(F.split(old, "")), lambda letters: kept(lambda at, n: F.array_join(F.slice(letters, at + 1, n), ""))), 0)
+    new = F.when(F.col("cuts").isNull(), old).when(F.size("cuts") <= FEW_CUTS, few).otherwise(many)
+    return both.select(*(new.alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
