@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -16,15 +17,15 @@ from tessel.llm import _bytes as B
 from tessel.llm._common import arrow_map, list_array, scratch, small_batches, text_or_empty
 from tessel.llm._graph import components
 
-#: Members of a family that meet in one task are two blocks of about this many.
-BLOCK = 100
+#: Members of a family that meet in one task are two blocks of about this many, and of about as many shingles in all.
+BLOCK, BLOCK_SHINGLES = 100, 1 << 20
 #: Bits of the folded sketch by which candidates are compared before their sets are; larger sets have more.
 BITS, MOST_BITS = 1024, 65536
 #: Sets that share a segment are compared each with each up to this many; more meet in a family.
 FEW = 4
 PAIR = -100
-#: A filter of documents' numbers has this power of two of bits at most: 32 MB.
-SIFT_BITS = 28
+#: A filter of documents' numbers has this power of two of bits at most: 32 MB; it is gathered in parts of so many bytes.
+SIFT_BITS, SIFT_PART = 28, 1 << 16
 
 
 class Threshold:
@@ -145,11 +146,11 @@ def set_keys(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text_or_empty(text)).alias("hash"))
 
 
 def sketched(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, key (of the set) and sketch (its folded parities) of every row."""
+    """doc_id, hash (of the text), n_shingles, key (of the set) and sketch (its folded parities) of every row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, keys, sketches = [], [], []
@@ -158,23 +159,29 @@ def sketched(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
             sizes.append(np.diff(at))
             keys.append(set_keys(shingles, at))
             sketches += [folded(shingles[i:j]) for i, j in zip(at[:-1], at[1:])]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(keys)), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "key", "sketch"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(keys)), pa.array(sketches, pa.binary())], names=["doc_id", "hash", "n_shingles", "key", "sketch"])
 
-    return arrow_map(_texts(docs, doc_id, text), run, "doc_id long, n_shingles long, key long, sketch binary")
+    return arrow_map(_texts(docs, doc_id, text), run, "doc_id long, hash long, n_shingles long, key long, sketch binary")
 
 
 def segments(docs: DataFrame, width: int, least: Fraction, doc_id: str, text: str) -> DataFrame:
-    """(segment, node, spare) of every text's set, node being the set's key."""
+    """(segment, node, spare) of the texts' sets, node being the set's key; a task gives on each of its sets once."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
-        for _, data, offsets in B.chunks(batch.column(1)):
-            shingles, at = shingle_sets(B.LOWER[data], offsets, width)
-            values, begin, spares = signatures(shingles, at, least)
-            found.append((values.view(np.int64), np.repeat(set_keys(shingles, at), np.diff(begin)), spares))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["segment", "node", "spare"])
-
-    return arrow_map(_texts(docs, doc_id, text), run, "segment long, node long, spare int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = np.zeros(0, np.int64)
+        for batch in batches:
+            for _, data, offsets in B.chunks(batch.column(1)):
+                shingles, at = shingle_sets(B.LOWER[data], offsets, width)
+                keys = set_keys(shingles, at)
+                new = np.zeros(len(keys), dtype=bool)
+                new[np.unique(keys, return_index=True)[1]] = True
+                new &= ~np.isin(keys, given)
+                given = np.concatenate([given, keys[new]])
+                sizes = np.diff(at)
+                values, begin, spares = signatures(shingles[np.repeat(new, sizes)], np.concatenate([[0], np.cumsum(sizes[new])]), least)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.repeat(keys[new], np.diff(begin))), pa.array(spares)], names=["segment", "node", "spare"])
+
+    return _texts(docs, doc_id, text).mapInArrow(run, "segment long, node long, spare int")
 
 
 def meetings(parts: DataFrame) -> DataFrame:
@@ -234,34 +241,37 @@ def folded(shingles: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def apart(a: bytes, b: bytes) -> int:
-    """The Hamming distance of two sketches; halves of the larger one are laid upon each other until it is as small."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def apart(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """The Hamming distances of sketches, pair by pair; halves of a larger one are laid upon each other until it is as small."""
+    sizes = [np.array(x.binary_length().to_pylist() if isinstance(x, pa.ChunkedArray) else pa.compute.binary_length(x), dtype=np.int64) for x in (a, b)]
+    out = np.zeros(len(a), dtype=np.int64)
+    both = sizes[0] << 32 | sizes[1]
+    for pair in np.unique(both):
+        rows = np.flatnonzero(both == pair)
+        x, y = (np.frombuffer(b"".join(side.take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1) for side in (a, b))
+        while x.shape[1] > y.shape[1]:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        while y.shape[1] > x.shape[1]:
+            y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+        out[rows] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def possible(pairs: DataFrame, sketches: DataFrame, least: Fraction) -> DataFrame:
     """The pairs (a, b) that sizes and sketches allow to be similar enough."""
     p, q = least.numerator, least.denominator
     side = lambda x: sketches.select(F.col("key").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "s_a", "s_b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
-        fits = q * np.minimum(n_a, n_b) >= p * np.maximum(n_a, n_b)
-        for i in np.flatnonzero(fits):
-            fits[i] = (p + q) * apart(batch.column(4)[i].as_py(), batch.column(5)[i].as_py()) <= (q - p) * (n_a[i] + n_b[i])
+        fits = (p + q) * apart(batch.column(3), batch.column(4)) <= (q - p) * batch.column(2).to_numpy()
         return pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(fits))
 
     return arrow_map(both, run, "a long, b long")
 
 
-def spanning(ids: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[tuple[int, int]]:
-    """Links that join whatever the links of these sets join: one fewer than there are sets at most.
+def spanning(ids: np.ndarray, sets: list[np.ndarray], least: Fraction, every: bool = False) -> list[tuple[int, int]]:
+    """Links that join whatever the links of these sets join: one fewer than there are sets at most, or ``every`` link.
 
     A pair is verified if its sketches and sizes allow it and no earlier link joins the two already.
     """
@@ -283,7 +293,7 @@ def spanning(ids: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[t
         distance = np.bitwise_count(sketches[i + 1 :] ^ sketches[i]).sum(axis=1, dtype=np.int64)
         for j in (i + 1 + np.flatnonzero((p + q) * distance <= (q - p) * total)).tolist():
             a, b = root(i), root(j)
-            if a != b:
+            if a != b or every:
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if q * common >= p * (sizes[i] + sizes[j] - common):
                     parent[max(a, b)] = min(a, b)
@@ -297,12 +307,30 @@ def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     The filter has 16 bits a wanted key, SIFT_BITS at most; a fuller one lets more rows pass, and the join drops them.
     """
     bits = 1 << min(SIFT_BITS, max(16, int(16 * wanted.count()).bit_length()))
+    part = min(SIFT_PART, bits >> 3)
     places = lambda: [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits)) for i in (1, 2)]
-    marks = wanted.select(F.explode(F.array(*places())).alias("p")).groupBy(F.shiftright("p", 3).cast("int").alias("at"))
-    marks = marks.agg(F.expr("bit_or(shiftleft(1, CAST(p & 7 AS INT)))").alias("b")).toArrow()
-    table = np.zeros(bits >> 3, dtype=np.uint8)
-    table[marks["at"].to_numpy()] = marks["b"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(bits >> 3, dtype=np.uint8)
+        for batch in batches:
+            for column in batch.columns:
+                p = column.to_numpy()
+                np.bitwise_or.at(table, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
+        parts = table.reshape(-1, part)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["at", "bits"])
+
+    def united(at: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        parts = np.zeros(part, np.uint8)
+        for x in group["bits"]:
+            parts |= np.frombuffer(x, np.uint8)
+        return pd.DataFrame({"at": [at[0]], "bits": [parts.tobytes()]})
+
+    marks = wanted.select(*(c.alias(f"p{i}") for i, c in enumerate(places()))).mapInArrow(marked, "at long, bits binary").groupBy("at").applyInPandas(united, "at long, bits binary").toArrow()
+    table = np.zeros((bits >> 3) // part * part, dtype=np.uint8).reshape(-1, part)
+    for at, held in zip(marks["at"].to_pylist(), marks["bits"].to_pylist()):
+        table[at] = np.frombuffer(held, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(table.ravel())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         pass_ = np.ones(batch.num_rows, dtype=bool)
@@ -314,23 +342,34 @@ def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return arrow_map(rows.where(F.col(key).isNotNull()).select(key, "text", *(c.alias(f"p{i}") for i, c in enumerate(places()))), run, f"{key} long, text string")
 
 
-def linked(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every row.
+class Found(NamedTuple):
+    """Documents' rows, their classes (equal sets), links between classes as (a, b), by the sets' keys."""
 
-    Texts are lower-cased from A to Z; a set holds the distinct runs of ``width`` words, or all words if there are
-    fewer. Two sets link when intersection / union >= ``least``. Null texts and texts without words have no shingles and
-    link with nothing. Rows with one doc_id and different texts are documents of their own that share a name. A null
-    doc_id names no class; its row has the component of rows with an equal set, else null.
+    rows: DataFrame
+    classes: DataFrame
+    links: DataFrame
 
-    1. Equal sets are one class, known by a 64-bit key of the set and named by its smallest doc_id.
-    2. Classes that share a segment of their sketches meet: up to FEW of them each with each, where sizes and folded
-       sketches decide whether they can link; of more each with the first. A class that has enough segments in small
-       company to find all its partners there takes no part in large ones.
-    3. What may link is a family (a component), and each link lies within one. A family's members are dealt into blocks,
-       and every two blocks meet in a task of their own, where the sets decide. Only links that join something new stay.
-    4. Components of these links name the documents.
-    No group of equal texts, of one segment or of one family comes to one task's memory as a whole.
-    """
+
+def _blocked(members: DataFrame, by: list[str]) -> DataFrame:
+    """Adds block: members with equal ``by`` are dealt into blocks of about BLOCK members and BLOCK_SHINGLES shingles."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    sizes = scratch(members.groupBy(*by).agg(blocks.alias("blocks")), "jaccard-blocks")
+    return members.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _checked(meeting: DataFrame, by: list[str], least: Fraction, every: bool) -> DataFrame:
+    """Links (a, b) among the sets (node, shingles) of each group."""
+
+    def verify(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("node").sort_values("node")
+        found = spanning(group["node"].to_numpy(), [np.asarray(s, dtype=np.int64).view(np.uint64) for s in group["shingles"]], least, every)
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return meeting.groupBy(*by).applyInPandas(verify, "a long, b long")
+
+
+def _found(docs: DataFrame, width: int, least: Fraction, doc_id: str, text: str, every: bool) -> Found:
+    """See ``linked``; with ``every``, all links between classes are given, else some that join the same ones."""
     rows = scratch(sketched(docs, width, doc_id, text), "jaccard-rows")
     classes = scratch(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "jaccard-classes")
     met = scratch(meetings(segments(docs, width, least, doc_id, text)), "jaccard-met")
@@ -339,44 +378,120 @@ def linked(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10), d
     # a class leads to the lowest of its segments' first classes, and so do these: few edges, however large a segment
     stars = crowd.select(F.col("low").alias("a"), F.explode(F.array_union("all", F.array("b"))).alias("b")).where("a <> b").distinct()
     families = components(pairs.unionByName(stars)).withColumnRenamed("component", "family")
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    families = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    families = scratch(families.join(classes.select("key", "class"), F.col("node") == F.col("key")).where("class IS NOT NULL").select("node", "family", "block", "blocks", "class"), "jaccard-families")
+    families = families.join(classes.select("key", "class", "n_shingles"), F.col("node") == F.col("key")).where("class IS NOT NULL").select("node", "family", "class", "n_shingles")
+    families = scratch(_blocked(families, ["family"]).select("node", "family", "block", "blocks", "class", "n_shingles"), "jaccard-families")
     body = sifted(docs.select(F.col(doc_id).cast("long").alias("class"), text_or_empty(text).alias("text")), families, "class")
-    members = families.join(body, "class").select("node", "family", "block", "blocks", "text")
-    schema = "node long, family long, block int, blocks int, shingles array<long>"
+    members = families.join(body, "class").select("node", "family", "block", "blocks", "n_shingles", "text")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, keys = [], []
-        for _, data, offsets in B.chunks(batch.column(4)):
+        for _, data, offsets in B.chunks(batch.column(5)):
             shingles, at = shingle_sets(B.LOWER[data], offsets, width)
             found.append(list_array(at, shingles.view(np.int64)))
             keys.append(set_keys(shingles, at))
-        out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.concat_arrays(found)], names=["node", "family", "block", "blocks", "shingles"])
+        out = pa.RecordBatch.from_arrays([*batch.columns[:5], pa.concat_arrays(found)], names=["node", "family", "block", "blocks", "n_shingles", "shingles"])
         return out.filter(pa.array(np.concatenate(keys) == batch.column(0).to_numpy()))
 
-    known = arrow_map(members, sets, schema)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    meeting = known.select("node", "family", "block", "shingles", other).select("node", "family", "shingles", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    known = scratch(arrow_map(members, sets, "node long, family long, block int, blocks long, n_shingles long, shingles array<long>"), "jaccard-sets")
+    if every:
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other")
+        meeting = known.select("node", "family", "block", "shingles", other).select("node", "family", "shingles", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        return Found(rows, classes, _checked(meeting, ["family", "low", "high"], least, True).distinct())
+    # each block by itself, with its family's first set, so that a family of copies is one component already
+    first = known.where("node = family").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    near = scratch(_checked(known.where("node <> family").unionByName(first).select("node", "family", "block", "shingles"), ["family", "block"], least, False), "jaccard-near")
+    return Found(rows, classes, near.unionByName(_between(known, near, least)))
 
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node").sort_values("node")
-        found = spanning(group["node"].to_numpy(), [np.asarray(s, dtype=np.int64).view(np.uint64) for s in group["shingles"]], least)
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-    links = meeting.groupBy("family", "low", "high").applyInPandas(verify, "a long, b long")
-    joined = components(links)
-    named = scratch(classes.select("key", "class").join(joined, F.col("key") == F.col("node"), "left").select("key", "class", F.coalesce("component", "key").alias("component")), "jaccard-named")
-    names = named.join(named.groupBy("component").agg(F.min("class").alias("component_id")), "component").select("key", "component_id")
-    found = rows.where("n_shingles > 0").join(names, "key", "left").select("doc_id", "n_shingles", "component_id")
-    return found.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+def _between(known: DataFrame, near: DataFrame, least: Fraction) -> DataFrame:
+    """Links between sets of a family that the links ``near`` leave apart.
+
+    Components of BLOCK sets or more are dealt into blocks of their own and the other sets of a family into mixed ones.
+    Two blocks meet unless they are of one component, so that what is joined is not compared again.
+    """
+    parts = known.select("node", "family", "n_shingles").join(components(near), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    sized = scratch(parts.groupBy("family", "part").agg(F.count("*").alias("n")), "jaccard-parts")
+    open_ = sized.groupBy("family").agg(F.count("*").alias("parts")).where("parts > 1").select("family")
+    large = sized.where(F.col("n") >= BLOCK).select("family", "part", F.lit(True).alias("large"))
+    parts = parts.join(open_, "family", "left_semi").join(large, ["family", "part"], "left").select("node", "family", "n_shingles", F.when(F.col("large"), F.col("part")).alias("own"))
+    dealt = _blocked(parts.withColumn("group", F.coalesce(F.col("own").cast("string"), F.lit(""))), ["family", "group"])
+    dealt = scratch(dealt.select("node", "family", "own", F.concat_ws("/", "group", "block").alias("block")), "jaccard-dealt")
+    blocks = scratch(dealt.select("family", "own", "block").distinct(), "jaccard-dealt-blocks")
+    side = lambda df, x: df.select("family", F.col("own").alias(f"own_{x}"), F.col("block").alias(x))
+    mixed = side(blocks.where("own IS NULL"), "low").join(side(blocks, "high"), "family").where("own_high IS NOT NULL OR low <= high")
+    owns = blocks.where("own IS NOT NULL")
+    apart_ = owns.select("family", F.col("own").alias("own_low")).distinct().join(owns.select("family", F.col("own").alias("own_high")).distinct(), "family").where("own_low < own_high")
+    owned = apart_.join(side(owns, "low"), ["family", "own_low"]).join(side(owns, "high"), ["family", "own_high"])
+    meeting = mixed.select("family", "low", "high").unionByName(owned.select("family", "low", "high"))
+    ends = meeting.select("family", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    members = known.select("node", "shingles").join(dealt.select("node", "family", "block"), "node")
+    return _checked(members.join(ends, ["family", "block"]).select("node", "family", "low", "high", "shingles"), ["family", "low", "high"], least, False)
+
+
+def _named(found: Found) -> DataFrame:
+    """key and component (a key, too) of every class, written."""
+    joined = components(found.links)
+    return scratch(found.classes.select("key", "class").join(joined, F.col("key") == F.col("node"), "left").select("key", "class", F.coalesce("component", "key").alias("component")), "jaccard-named")
+
+
+def linked(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every row.
+
+    Texts are lower-cased from A to Z; a set holds the distinct runs of ``width`` words, or all words if there are
+    fewer. Two sets link when intersection / union >= ``least``. Null texts and texts without words have no shingles and
+    link with nothing. Rows with one doc_id and different texts are documents of their own that share a name. A null
+    doc_id names no class; its row has the component of rows with an equal set, else null. Repeated rows have equal
+    results; empty tables have none; other columns are not looked at.
+
+    1. Equal sets are one class, known by a 64-bit key of the set and named by its smallest doc_id.
+    2. Classes that share a segment of their sketches meet: up to FEW of them each with each, where sizes and folded
+       sketches decide whether they can link; of more each with the first. A class that has enough segments in small
+       company to find all its partners there takes no part in large ones.
+    3. What may link is a family (a component), and each link lies within one. A family's members are dealt into blocks.
+       The sets decide, in tasks of a block and the family's first set; then of two blocks, for what is still apart.
+    4. Components of these links name the documents.
+    No group of equal texts, of one segment or of one family comes to one task's memory as a whole.
+    """
+    found = _found(docs, width, least, doc_id, text, False)
+    named = _named(found)
+    low = scratch(named.groupBy("component").agg(F.min("class").alias("component_id")), "jaccard-low")
+    names = named.join(low, "component").select("key", "component_id")
+    rows = found.rows
+    both = rows.where("n_shingles > 0").join(names, "key", "left").select("doc_id", "n_shingles", "component_id")
+    return both.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def links(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10), doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, as pairs (a, b) of classes, and membership: doc_id and class of every row.
+
+    A class is known by its smallest doc_id and, since rows may share that, the set's key: a, a_key, b, b_key, and doc_id,
+    class, key. Rows without shingles have no class, nor have sets that only rows without doc_id hold links. Otherwise as
+    ``linked``, but no pair is left out because others join its ends already.
+    """
+    found = _found(docs, width, least, doc_id, text, True)
+    side = lambda x: found.classes.select(F.col("key").alias(x), F.col("class").alias(f"{x}_class"))
+    pairs = found.links.join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.select(F.col("a_class").alias("a"), F.col("a").alias("a_key"), F.col("b_class").alias("b"), F.col("b").alias("b_key"))
+    member = found.rows.select("doc_id", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key")).join(found.classes.select("key", "class"), "key", "left")
+    return pairs, member.select("doc_id", "class", "key")
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` but for near copies: of each component the smallest doc_id stays, in one row.
+    """The rows of ``docs`` but for near copies: of each component the row of the smallest doc_id stays.
 
-    Rows without a doc_id stay: they can't be told from each other.
+    Rows of one doc_id and different texts are documents of their own: of those that are no near copies all stay. Of
+    equal rows one stays. Texts without words link with nothing and stay, each. Rows without doc_id come last: one stays
+    of a component that has no other. Null texts, ties and empty tables as in ``linked``; columns of any name pass.
     """
-    first = linked(docs, width, least, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    known = docs.where(F.col(doc_id).isNotNull()).join(first, F.col(doc_id) == F.col("_first"), "left_semi").dropDuplicates([doc_id])
-    return known.unionByName(docs.where(F.col(doc_id).isNull()))
+    found = _found(docs, width, least, doc_id, text, False)
+    named = _named(found).select("key", "component")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("hash").alias("hash"))
+    first = found.rows.where("n_shingles > 0").join(named, "key").groupBy("component").agg(F.min(order).alias("x"))
+    first = scratch(first.select("x.id", "x.hash"), "jaccard-first")
+    column = lambda c: F.col(f"`{c}`")
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("_row"), column(doc_id).cast("long").alias("id"), F.xxhash64(text_or_empty(column(text))).alias("hash"), column(text).alias("_text"))
+    wordless = ~F.coalesce(F.col("_text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    some = rows.where(~wordless).drop("_text")
+    kept = some.where("id IS NOT NULL").join(first.where("id IS NOT NULL"), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
+    unnamed = some.where("id IS NULL").join(first.where("id IS NULL").select("hash"), "hash", "left_semi").dropDuplicates(["hash"])
+    return kept.select("_row.*").unionByName(unnamed.select("_row.*")).unionByName(rows.where(wordless).select("_row.*"))
