@@ -1,10 +1,13 @@
 """The contracts of the numbered queries in plain Python, for small inputs."""
 
 import hashlib
+import math
 import re
 import string
 from collections import Counter
 
+import numpy as np
+
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
@@ -16,6 +19,31 @@ def licenses(text):
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({label for _, label in places}))
 
 
+def license_evidence(text, templates, common, gap, share):
+    """labels and score of a text: of all passages, the most pairs that stand in order on neighbouring diagonals."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+    base = licenses(text)
+    labels, score = set(filter(None, base[4].split(","))), float(base[1] > 0)
+    for passage, label in templates.items():
+        t = passage.split(" ")
+        pairs = {i: (a, b) for i, (a, b) in enumerate(zip(t, t[1:])) if not (a in common and b in common)}
+        hits = [(p, i) for p in range(len(words) - 1) for i, ab in pairs.items() if (words[p], words[p + 1]) == ab]
+        votes = Counter(p - i for p, i in hits)
+        score = max([score, *(n / len(pairs) for n in votes.values())])
+        for d in votes:
+            here = sorted(((p, -i) for p, i in hits if d <= p - i <= d + gap))
+            if len(here) < share * len(pairs):
+                continue
+            longest = {}
+            for p, i in here:  # by place, so that an earlier one of the same place never counts twice
+                longest[-i] = max(longest.get(-i, 0), 1 + max((n for j, n in longest.items() if j < -i), default=0))
+            found = max(longest.values()) / len(pairs)
+            if found >= share:
+                labels.add(label)
+                score = max(score, found)
+    return ",".join(sorted(labels)), score
+
+
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
@@ -42,6 +70,37 @@ def quality(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside), failed
 
 
+def least_determinant(x, floors, core, first_steps, more_steps, chi_median):
+    """Center and scatter of rows by concentration steps from three starts, as numpy does it."""
+    rank = lambda v, q: np.sort(v, axis=0)[math.ceil(q * len(v)) - 1]
+    d = x.shape[1]
+    distances = lambda c, s: np.einsum("ni,ij,nj->n", x - c, np.linalg.inv(s + np.diag(floors**2)), x - c)
+
+    def step(c, s):
+        d2 = distances(c, s)
+        near = x[d2 <= rank(d2, core)]
+        return near.mean(axis=0), np.cov(near.T, bias=True)
+
+    center = rank(x, 0.5)
+    sd = 1.4826 * rank(np.abs(x - center), 0.5)
+    z = (x - center) / (sd + floors)
+    scatters = [np.diag(sd**2)]
+    for u in (np.tanh(z), z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]):
+        m = u.T @ u / len(u)
+        r = m / np.sqrt(np.outer(np.diag(m), np.diag(m)))
+        scatters.append(np.where(np.eye(d) > 0, 1.0, r) * np.outer(sd, sd))
+    ends = []
+    for s in scatters:
+        c = center
+        for _ in range(first_steps):
+            c, s = step(c, s)
+        ends.append((np.linalg.slogdet(s + np.diag(floors**2))[1], len(ends), c, s))
+    _, _, c, s = min(ends, key=lambda e: e[:2])
+    for _ in range(more_steps):
+        c, s = step(c, s)
+    return c, max(1.0, rank(distances(c, s), 0.5) / chi_median) * (s + np.diag(floors**2))
+
+
 def url(address):
     host, path = "", ""
     if "://" in (address or ""):

@@ -44,6 +44,52 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted(map(str, jaccard.linked(docs, 3).collect())) == sorted(str(r) for r in [jaccard_row(1, 1, 1), jaccard_row(1, 1, 1), jaccard_row(None, 1, 1), jaccard_row(3, 1, 3)])
 
 
+def test_all_links_between_different_texts(spark):
+    docs = near_copies(4, 30, 12) + [(10_000 + i, t) for i, t in near_copies(98, 1, 300)]
+    pairs, member = jaccard.links(spark.createDataFrame(docs, "doc_id long, text string"), 3, Fraction(9, 10))
+    sets = {i: brute.shingles(t, 3) for i, t in docs}
+    low = {}
+    for i in sorted(sets):
+        low.setdefault(frozenset(sets[i]), i)
+    ids = sorted(i for s, i in low.items() if s)
+    want = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b])}
+    got = [tuple(sorted((r.a, r.b))) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {r.doc_id: r["class"] for r in member.collect()} == {i: low[frozenset(s)] if s else None for i, s in sets.items()}
+
+
+def test_one_of_each_group_stays_and_nothing_else_goes(spark):
+    long = lambda k: " ".join(f"w{k * 100 + i}" for i in range(30))
+    rows = [(1, long(1)), (1, long(2)), (1, long(2)), (2, long(2) + " x"), (3, long(3)), (None, long(3)), (None, long(4)), (None, long(4)), (5, None), (6, ""), (6, "")]
+    docs = spark.createDataFrame([(i, t, 0, "h", "r") for i, t in rows], "doc_id long, text string, id int, hash string, `_row` string")
+    left = jaccard.keep_one(docs)
+    assert left.columns == docs.columns
+    got = sorted((str(r.doc_id), str(r.text)) for r in left.collect())
+    assert got == sorted((str(i), str(t)) for i, t in [(1, long(1)), (1, long(2)), (3, long(3)), (None, long(4)), (5, None), (6, ""), (6, "")])
+    assert jaccard.keep_one(docs.limit(0)).count() == 0
+
+
+def test_very_long_and_equal_sketches(spark):
+    """A text of some MB, its near copy, and a family of many blocks whose chain of links spans them."""
+    base = [f"w{i}" for i in range(200_000)]
+    chain = [(100 + i, " ".join(f"c{j}" for j in range(i, i + 60))) for i in range(0, 600)]
+    docs = [(1, " ".join(base)), (2, " ".join(base[:-200])), *chain]
+    got = {r.doc_id: r.component_id for r in jaccard.linked(spark.createDataFrame(docs, "doc_id long, text string"), 3, Fraction(9, 10)).collect()}
+    assert got == {1: 1, 2: 1} | {i: 100 for i, _ in chain}
+
+
+def test_distances_of_sketches():
+    rng = np.random.default_rng(8)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (3, 50, 5000, 40_000)]
+    folds = [jaccard.folded(s) for s in sets]
+    a, b = zip(*[(x, y) for x in folds for y in folds])
+    got = jaccard.apart(jaccard.pa.array(a, jaccard.pa.binary()), jaccard.pa.array(b, jaccard.pa.binary()))
+    bits = lambda x: np.unpackbits(np.frombuffer(x, np.uint8))
+    for x, y, d in zip(a, b, got):
+        n = 8 * min(len(x), len(y))
+        assert d == (bits(x).reshape(-1, n).sum(axis=0) % 2 != bits(y).reshape(-1, n).sum(axis=0) % 2).sum()
+
+
 def jaccard_row(*values):
     from pyspark.sql import Row
 
