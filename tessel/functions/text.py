@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values of the caption rules ---
-TRAILING_WORDS = "is are was were sitting standing lying laying holding wearing eating drinking walking running flying parked painting crossing".split()
-MULTI_SUBJECT_STARTERS = "two three four five six several many multiple group crowd".split()
+TRAILING_WORDS = [
+    "is", "are", "was", "were", "sitting", "standing", "lying", "laying", "holding", "wearing", "eating", "drinking", "walking",
+    "running", "flying", "parked", "painting", "crossing",
+]
+MULTI_SUBJECT_STARTERS = ["two", "three", "four", "five", "six", "several", "many", "multiple", "group", "crowd"]
 BAD_FRAGMENTS = [
     "all rights reserved", "copyright", "creative commons", "uploaded by", "screenshot", "screen shot", "untitled",
     "unknown", "img", "dsc", "sam ", "whatsapp", "once again",
@@ -61,42 +64,65 @@ def clean_caption(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9' -]+", " "), r"\s+", " ")))
 
 
+def _bad(text: Column) -> Column:
+    """Whether the text and a space behind it hold a bad fragment."""
+    found = F.lit(False)
+    for fragment in BAD_FRAGMENTS:
+        found = found | text.contains(fragment)
+        if fragment.endswith(" "):
+            found = found | text.endswith(fragment[:-1])
+    return found
+
+
+def _cut(text: Column, preserve: bool) -> Column:
+    """A clean caption without its prefix, what follows a marker, numbers and single letters."""
+    body = text
+    for prefix in reversed(PREFIXES):
+        body = F.when(text.startswith(prefix), F.trim(F.substr(text, F.lit(len(prefix) + 1)))).otherwise(body)
+    if not preserve:
+        for marker in TRIM_MARKERS:  # a trimmed text does not begin with one, and is left whole where there is none
+            body = F.trim(F.substring_index(body, marker, 1))
+    body = F.regexp_replace(F.regexp_replace(body, r"\b\d{2,}\b", " "), r"\b[a-z]\b", " ")
+    return F.btrim(F.regexp_replace(body, r"\s+", " "), F.lit(" -'"))
+
+
+def _phrase(words: Column, least: int, most: int, preserve: bool) -> Column:
+    """The words, without verbs at the end, as a phrase, or null where the rules reject them."""
+    trailing = lambda w: w.isin(TRAILING_WORDS)
+
+    def judged(w: Column) -> Column:
+        good = (F.size(w) >= least) & (F.size(w) <= most) & ~F.coalesce(F.get(w, 0).isin(MULTI_SUBJECT_STARTERS), F.lit(False)) & ~((F.size(w) > 2) & (F.size(F.array_distinct(w)) == 1))
+        return F.when(good, F.array_join(w, " "))
+
+    if preserve:
+        return F.when(F.size(words) <= most, judged(words))
+    # more words than allowed only pass if all those beyond are to be dropped, so few are looked at
+    fits = F.forall(F.slice(words, most + 1, F.greatest(F.size(words) - most, F.lit(0))), trailing)
+    ends = lambda w: F.coalesce(F.array_max(F.transform(F.slice(w, 1, most), lambda x, i: F.when(trailing(x), 0).otherwise(i + 1))), F.lit(0))
+    return F.when(fits, let(F.slice(words, 1, ends(words)), judged))
+
+
 def shorten_caption(value: Column, least: int = 1, most: int = 6, preserve: bool = False) -> Column:
     """A short noun phrase from a caption, or null where the rules reject it."""
 
-    def cut(text: Column) -> Column:
-        body = F.lit(None).cast("string")
-        for prefix in reversed(PREFIXES):
-            body = F.when(text.startswith(prefix), F.trim(F.substr(text, F.lit(len(prefix) + 1)))).otherwise(body)
-        body = F.coalesce(body, text)
-        if not preserve:
-            markers = F.array(*map(F.lit, TRIM_MARKERS))
-            body = F.aggregate(markers, body, lambda t, m: F.when(F.position(m, t) > 1, F.trim(F.substr(t, F.lit(1), F.position(m, t) - 1))).otherwise(t))
-        body = F.regexp_replace(F.regexp_replace(body, r"\b\d{2,}\b", " "), r"\b[a-z]\b", " ")
-        return F.btrim(F.regexp_replace(body, r"\s+", " "), F.lit(" -'"))
-
-    def judged(words: Column) -> Column:
-        last = F.array(*map(F.lit, TRAILING_WORDS))
-        if preserve:
-            kept = words
-        else:
-            ends = F.transform(words, lambda w, i: F.when(F.array_contains(last, w), 0).otherwise(i + 1))
-            kept = F.slice(words, 1, F.greatest(F.coalesce(F.array_max(ends), F.lit(0)), F.lit(0)))
-        return let(kept, lambda w: F.when(
-            (F.size(w) >= least) & (F.size(w) <= most) & ~F.coalesce(F.get(w, 0).isin(MULTI_SUBJECT_STARTERS), F.lit(False)) & ~((F.size(w) > 2) & (F.size(F.array_distinct(w)) == 1)),
-            F.array_join(w, " "),
-        ))
-
     def whole(text: Column) -> Column:
-        bad = F.lit(False)
-        for fragment in BAD_FRAGMENTS:
-            bad = bad | F.concat(text, F.lit(" ")).contains(fragment)
-        short = let(cut(text), lambda t: F.when(t != "", judged(F.regexp_extract_all(t, F.lit("[a-z][a-z0-9'-]*"), F.lit(0)))))
-        return F.when((text != "") & ~bad, short)
+        words = F.regexp_extract_all(_cut(text, preserve), F.lit("[a-z][a-z0-9'-]*"), F.lit(0))
+        return F.when((text != "") & ~_bad(text), let(words, lambda w: _phrase(w, least, most, preserve)))
 
     return let(clean_caption(value), whole)
 
 
+def shortened(df: DataFrame, caption: str, out: str, least: int = 1, most: int = 6, preserve: bool = False) -> DataFrame:
+    """The rows whose caption is not rejected, with its short form: ``shorten_caption`` in steps, which Spark compiles.
+
+    An explode leaves the others out, since a filter would have the whole expression worked out twice.
+    """
+    clean = df.withColumn("_clean", clean_caption(F.col(caption)))
+    good = (F.col("_clean") != "") & ~_bad(F.col("_clean"))
+    cut = clean.withColumn("_words", F.when(good, F.regexp_extract_all(_cut(F.col("_clean"), preserve), F.lit("[a-z][a-z0-9'-]*"), F.lit(0))))
+    return cut.withColumn(out, F.explode(F.array_compact(F.array(_phrase(F.col("_words"), least, most, preserve))))).drop("_clean", "_words")
+
+
 def candidate_captions(fields: Sequence[tuple[Column, bool]], least: int = 1, most: int = 6) -> Column:
     """Shortened captions of all fields in order, each once; a field marked True is a list of tags split at , and ;."""
     lists = [F.when(present(c).isNull(), F.array().cast("array<string>")).otherwise(F.split(c, "[,;]") if tags else F.array(c)) for c, tags in fields]

@@ -46,7 +46,7 @@ def image_stats(images: DataFrame, fraction: float = 0.08, edge: float = 16.0) -
 
     def stats(a: np.ndarray) -> dict:
         x = a.astype(np.float64)
-        m, gray = margin(*a.shape[:2], fraction), x @ GRAY
+        m, gray = margin(*a.shape[:2], fraction), np.round(x @ GRAY, 9)
         stripes = [gray[:m], gray[-m:], gray[:, :m], gray[:, -m:]]
         jumps = np.concatenate([np.abs(np.diff(s, axis=k)).ravel() for s in stripes for k in (0, 1)])
         return {
@@ -108,7 +108,7 @@ def border_stats(images: DataFrame, edge: float = 16.0) -> DataFrame:
 
     def stats(a: np.ndarray) -> dict:
         h, w = a.shape[:2]
-        m, gray = max(2, min(8, min(h, w) // 16)), a @ LUMA
+        m, gray = max(2, min(8, min(h, w) // 16)), np.round(a @ LUMA, 9)
         ring = np.ones((h, w), bool)
         ring[m : h - m, m : w - m] = False
         right, down = np.abs(np.diff(gray, axis=1)), np.abs(np.diff(gray, axis=0))
@@ -119,21 +119,21 @@ def border_stats(images: DataFrame, edge: float = 16.0) -> DataFrame:
 
 
 def bbox(width: Column, height: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column, padding: float, least: int = 16) -> Column:
-    """left, top, right, bottom of a padded box from 0 to 1 in pixels; boxes with a side under ``least`` are the whole image."""
+    """left, top, right, bottom of a padded box from 0 to 1 in whole pixels, cut off; a side under ``least`` makes it the whole image."""
     dx, dy = (xmax - xmin) * padding, (ymax - ymin) * padding
-    at = lambda v, n: F.greatest(F.lit(0), F.least(n, F.floor(v * n).cast("int")))
-    up = lambda v, n: F.greatest(F.lit(0), F.least(n, F.ceil(v * n).cast("int")))
-    left, top, right, bottom = at(xmin - dx, width), at(ymin - dy, height), up(xmax + dx, width), up(ymax + dy, height)
+    low = lambda v, n: F.greatest(F.lit(0), (v * n).cast("int"))
+    high = lambda v, n: F.least(n, (v * n).cast("int"))
+    left, top, right, bottom = low(xmin - dx, width), low(ymin - dy, height), high(xmax + dx, width), high(ymax + dy, height)
     small = (right - left < least) | (bottom - top < least)
     whole = (F.lit(0), F.lit(0), width, height)
     return F.struct(*(F.when(small, w).otherwise(v).alias(n) for n, v, w in zip(("left", "top", "right", "bottom"), (left, top, right, bottom), whole)))
 
 
 def center_crop(width: Column, height: Column, fraction: float, least: int = 16) -> Column:
-    """left, top and side of the centered square."""
+    """left, top and side of the centered square; it reaches beyond images smaller than ``least``."""
     short = F.least(width, height)
-    side = F.least(short, F.greatest(F.lit(least), (short * fraction).cast("int")))
-    return F.struct(((width - side) / 2).cast("int").alias("left"), ((height - side) / 2).cast("int").alias("top"), side.alias("side"))
+    side = F.greatest(F.lit(least), F.least(short, (short * fraction).cast("int")))
+    return F.struct(F.floor((width - side) / 2).cast("int").alias("left"), F.floor((height - side) / 2).cast("int").alias("top"), side.alias("side"))
 
 
 def _blur(x: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,9 +23,14 @@ def union_roots(roots: Sequence[tuple[DataFrame, int, int]], key: str, pos: str)
     return out
 
 
+def hashed(seed: int, row: str) -> Column:
+    """What rows are ordered by to be shuffled: the same at every run."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string")))
+
+
 def sample(df: DataFrame, row: str, key: str, seed: int, per_key: int, most: int) -> DataFrame:
     """``most`` rows in an order by hash, at most ``per_key`` a key."""
-    shuffled = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(row)))
+    shuffled = df.withColumn("_h", hashed(seed, row))
     return first_per_key(shuffled, [key], ["_h", row], per_key).orderBy("_h", row).limit(most).drop("_h")
 
 
@@ -35,6 +40,6 @@ def ratio_mix(df: DataFrame, source: str, row: str, ratios: Mapping[str, float],
     for name, ratio in ratios.items():
         quota = F.when(F.col(source) == name, round(ratio * total)).otherwise(quota)
     most = max((round(r * total) for r in ratios.values()), default=0)
-    shuffled = df.where(F.col(source).isin(list(ratios))).withColumn("_h", F.xxhash64(F.lit(seed), F.col(row)))
+    shuffled = df.where(F.col(source).isin(list(ratios))).withColumn("_h", hashed(seed, row))
     n = F.row_number().over(Window.partitionBy(source).orderBy("_h", row))
     return shuffled.withColumn("_n", n).where(F.col("_n") <= most).where(F.col("_n") <= quota).drop("_h", "_n")

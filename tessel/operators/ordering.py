@@ -15,16 +15,16 @@ def global_sum(df: DataFrame, order: Sequence[str | Column], value: Column, name
     """Adds the sum of ``value`` over all rows up to the current one, in the total order that ``order`` gives.
 
     Rows are range-partitioned by ``order``; each range sums by itself, and the ranges' totals, one row each, add up to
-    what lies before a range. The ranges are written once, so that both uses see the same ones. ``order`` has to tell any two rows apart, else equal rows may fall to two ranges.
+    what lies before a range. The ranges are written once, so that both uses see the same ones. ``order`` (columns, their
+    descending order, or expressions) has to tell any two rows apart, else equal rows may fall to two ranges.
     """
-    keys = [f"_o{i}" for i in range(len(order))]
-    ranged = df.withColumns(dict(zip(keys, (F.col(c) if isinstance(c, str) else c for c in order)))).withColumn("_v", value)
-    ranged = kept(ranged.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
-    within = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = ranged.groupBy("_part").agg(F.sum("_v").alias("_t"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("_part").alias("_p"), "_before")
-    summed = ranged.withColumn("_s", F.sum("_v").over(within)).join(F.broadcast(before), F.col("_part") == F.col("_p"))
-    return summed.withColumn(name, F.col("_s") + F.col("_before")).drop(*keys, "_v", "_part", "_p", "_s", "_before")
+    ranged = df.withColumn("__value", value)
+    ranged = kept(ranged.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = ranged.groupBy("__range").agg(F.sum("__value").alias("__total"))
+    before = totals.withColumn("__before", F.coalesce(F.sum("__total").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("__range").alias("__at"), "__before")
+    summed = ranged.withColumn("__sum", F.sum("__value").over(within)).join(F.broadcast(before), F.col("__range") == F.col("__at"))
+    return summed.withColumn(name, F.col("__sum") + F.col("__before")).drop("__value", "__range", "__at", "__sum", "__before")
 
 
 def global_number(df: DataFrame, order: Sequence[str | Column], name: str = "n") -> DataFrame:

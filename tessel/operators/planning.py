@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessel.operators.ordering import global_number
+from tessel.operators.selection import number_in_key
 
 
 def product(df: DataFrame, lists: Sequence[str], most: int) -> DataFrame:
@@ -41,8 +41,17 @@ def slot_values(*sources: Column) -> Column:
 
 def variant_ids(df: DataFrame, keys: Sequence[str], base: str, order: Sequence[str]) -> DataFrame:
     """Repeated ids of a preset get _02, _03, ... in order."""
-    n = F.row_number().over(Window.partitionBy(*keys, base).orderBy(*order))
-    return df.withColumn("_n", n).withColumn(base, F.when(F.col("_n") > 1, F.concat(F.col(base), F.format_string("_%02d", "_n"))).otherwise(F.col(base))).drop("_n")
+    return number_in_key(df, [*keys, base], order, "_n").withColumn(base, F.when(F.col("_n") > 1, F.concat(F.col(base), F.format_string("_%02d", "_n"))).otherwise(F.col(base))).drop("_n")
+
+
+def focus(presets: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The presets of the ``wanted`` keys (key, idx) with idx, their place in the order asked for; a key that no preset
+    has is an error."""
+    asked = wanted.select(F.col(key).alias("_key"), F.col("idx"))
+    missing = asked.join(presets.select(key), F.col("_key") == F.col(key), "left_anti").select("_key").limit(5).collect()
+    if missing:
+        raise ValueError(f"missing presets: {[r['_key'] for r in missing]}")
+    return presets.join(asked, F.col(key) == F.col("_key")).drop("_key")
 
 
 def padded(suffixes: Column, n: int) -> Column:
@@ -90,5 +99,6 @@ def pairs(text: Column) -> Column:
 
 def sampled_slot(values: Column, empties: int, *seed: Column) -> Column:
     """A value by hash, or '' with the weight of ``empties`` values; the same for the same seed."""
-    i = F.pmod(F.xxhash64(*seed), F.size(values) + empties).cast("int")
+    number = F.conv(F.substr(F.md5(F.concat_ws(":", *(s.cast("string") for s in seed))), F.lit(1), F.lit(8)), 16, 10).cast("long")
+    i = (number % (F.size(values) + empties)).cast("int")
     return F.coalesce(F.get(values, i), F.lit(""))

@@ -79,12 +79,13 @@ def per_class(dims: DataFrame, scored: DataFrame, key: str, means: Sequence[str]
 
 
 def tensor_stats(v: Column) -> Column:
-    """min, max, mean and rms of an array's finite values, null without any; and the share of values outside [-1, 1]."""
+    """min, max, mean and rms of an array's finite values, NaN without any; and how many lie outside [-1, 1]. Null for null."""
     finite = F.filter(F.transform(v, lambda x: x.cast("double")), lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     total = F.aggregate(finite, F.lit(0.0), lambda s, x: s + x)
     squares = F.aggregate(finite, F.lit(0.0), lambda s, x: s + x * x)
     n = F.nullif(F.size(finite), F.lit(0))
-    return F.struct(F.array_min(finite).alias("min"), F.array_max(finite).alias("max"), (total / n).alias("mean"), F.sqrt(squares / n).alias("rms"), F.size(F.filter(finite, lambda x: F.abs(x) > 1)).alias("clipped"))
+    or_nan = lambda c, name: F.when(v.isNotNull(), F.coalesce(c, F.lit(float("nan")))).alias(name)
+    return F.struct(or_nan(F.array_min(finite), "min"), or_nan(F.array_max(finite), "max"), or_nan(total / n, "mean"), or_nan(F.sqrt(squares / n), "rms"), F.size(F.filter(finite, lambda x: F.abs(x) > 1)).alias("clipped"))
 
 
 def mse(a: Column, b: Column) -> Column:
@@ -94,3 +95,62 @@ def mse(a: Column, b: Column) -> Column:
 
 def psnr(error: Column) -> Column:
     return F.when(error <= 0, 99.0).otherwise(-10 * F.log10(error))
+
+
+def caption_summary(rows: DataFrame) -> DataFrame:
+    """One row on mined captions: counts, and scores, mean quality, mean highest negative and captions of accepted rows.
+
+    ``rows`` has accepted, score, quality, negative and caption; a null ``accepted`` counts as rejected.
+    """
+    good = F.coalesce("accepted", F.lit(False))
+    of = lambda c: F.when(good, F.col(c))
+    return rows.agg(
+        F.count("*").alias("total"), F.count_if(good).alias("accepted"), F.count_if(~good).alias("rejected"), F.avg(of("score")).alias("score_mean"), F.min(of("score")).alias("score_min"), F.max(of("score")).alias("score_max"),
+        F.avg(of("quality")).alias("quality_mean"), F.avg(of("negative")).alias("negative_mean"), F.count_distinct(of("caption")).alias("captions"),
+    )
+
+
+def most_common(rows: DataFrame, value: str, pos: str, most: int = 40) -> DataFrame:
+    """The ``most`` commonest values with their counts; of equally common ones those that come first."""
+    counted = rows.groupBy(value).agg(F.count("*").alias("n"), F.min(pos).alias("_first"))
+    return counted.orderBy(F.desc("n"), "_first", value).limit(most).select(value, "n")
+
+
+def quality_report(rows: DataFrame, errors: DataFrame | None, values: Sequence[str], tie: str) -> DataFrame:
+    """One row on a validated dataset: counts of metadata, errors, accepted, missing, invalid and valid images, and of each
+    of ``values`` its nearest-rank summary over valid images (value_min, value_p50, ...).
+
+    ``rows`` has accepted (null counts as true), there (its image exists) and reason (why it is invalid, else null).
+    """
+    accepted = F.coalesce("accepted", F.lit(True))
+    valid = accepted & F.col("there") & F.col("reason").isNull()
+    report = rows.agg(
+        F.count("*").alias("metadata_rows"), F.count_if(accepted).alias("accepted_rows"), F.count_if(~accepted).alias("rejected_rows"), F.count_if(accepted & ~F.col("there")).alias("missing_images"),
+        F.count_if(accepted & F.col("there") & F.col("reason").isNotNull()).alias("invalid_images"), F.count_if(valid).alias("valid_images"),
+    )
+    counted = errors.agg(F.count("*").alias("json_errors")) if errors is not None else report.select(F.lit(0).cast("long").alias("json_errors"))
+    out = report.join(counted)
+    for value in values:
+        ranks = nearest_rank(rows.where(valid), value, tie)
+        out = out.join(ranks.select(*(F.col(c).alias(f"{value}_{c}") for c in ranks.columns)))
+    return out
+
+
+def invalid_images(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The accepted rows whose image is there and has a flaw, with the reason."""
+    return rows.where(F.coalesce("accepted", F.lit(True)) & F.col("there") & F.col("reason").isNotNull()).select(*columns, "reason")
+
+
+def key_coverage(rows: DataFrame, key: str) -> DataFrame:
+    """One row: the fewest and the most rows of any key."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.min("n").alias("trained_seed_count"), F.max("n").alias("most"))
+
+
+def chunk_timing(rows: DataFrame, step: str, load: str, predict: str, chunk: str) -> DataFrame:
+    """Sums of each step's times, and its slowest chunk (the last among equals)."""
+    return rows.groupBy(F.col(step).alias("step")).agg(F.sum(load).alias("load"), F.sum(predict).alias("predict"), F.max(predict).alias("most"), F.max_by(chunk, F.struct(predict, chunk)).alias("most_chunk"))
+
+
+def paired_means(pairs: DataFrame, raw: str, processed: str) -> DataFrame:
+    """One row: means of both sides of pairs, the mean difference, and how many pairs there are."""
+    return pairs.agg(F.avg(raw).alias("raw_mean"), F.avg(processed).alias("processed_mean"), F.avg(F.col(processed) - F.col(raw)).alias("delta"), F.count("*").alias("n"))

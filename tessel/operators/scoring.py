@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessel.operators.shared import kept
+
 
 def object_candidates(boxes: DataFrame, keys: Sequence[str], label: str, least_area: float) -> DataFrame:
     """Largest box of each label of a row, by area; group boxes, invalid corners and small areas are left out.
@@ -27,23 +29,30 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def class_scores(items: DataFrame, prompts: DataFrame, item_id: str, vector: str, prompt_key: str, prompt_vector: str) -> DataFrame:
-    """(item, key, score): the largest product with any of a class's prompts.
+def scored(items: DataFrame, prompts: DataFrame, vector: str, prompt_key: str, prompt_vector: str, name: str = "scores") -> DataFrame:
+    """Adds an array of (key, score), by key: the largest product with any of a class's prompts.
 
     ``prompts`` is a list of class prompts, a few rows a class: it comes to each row as one array, so no product is a
-    shuffled row; the array is worked out once and sent along as a one-row table.
+    shuffled row. The array is worked out once and written; Spark broadcasts its one row if that is small enough.
     """
-    packed = prompts.groupBy(F.col(prompt_key).alias("_key")).agg(F.collect_list(prompt_vector).alias("_vs")).agg(F.array_sort(F.collect_list(F.struct("_key", "_vs"))).alias("_classes"))
+    packed = prompts.groupBy(F.col(prompt_key).alias("_key")).agg(F.collect_list(prompt_vector).alias("_vs")).agg(F.sort_array(F.collect_list(F.struct("_key", "_vs"))).alias("_classes"))
     best = F.transform("_classes", lambda c: F.struct(c["_key"].alias("key"), F.array_max(F.transform(c["_vs"], lambda v: dot(F.col(vector), v))).alias("score")))
-    return items.join(F.broadcast(packed)).select(*items.columns, F.explode(best).alias("_x")).select(*items.columns, "_x.key", "_x.score")
+    return items.join(kept(packed, "prompts")).withColumn(name, best).drop("_classes")
+
+
+def class_scores(items: DataFrame, prompts: DataFrame, item_id: str, vector: str, prompt_key: str, prompt_vector: str) -> DataFrame:
+    """(item, key, score) for each class; see ``scored``."""
+    return scored(items, prompts, vector, prompt_key, prompt_vector, "_s").select(*items.columns, F.explode("_s").alias("_x")).select(*items.columns, "_x.key", "_x.score")
 
 
-def top_two(scores: DataFrame, item_id: str) -> DataFrame:
-    """item, top1_key, top1_score, top2_key, top2_score (-1 if there is one class), margin; ties go to the smaller key."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "key")))
-    two = scores.groupBy(item_id).agg(ranked.alias("r")).select(item_id, F.get("r", 0).alias("a"), F.get("r", 1).alias("b"))
-    second = F.coalesce(-F.col("b.s"), F.lit(-1.0))
-    return two.select(item_id, F.col("a.key").alias("top1_key"), (-F.col("a.s")).alias("top1_score"), F.col("b.key").alias("top2_key"), second.alias("top2_score"), (-F.col("a.s") - second).alias("margin"))
+def top_two(rows: DataFrame, scores: str = "scores") -> DataFrame:
+    """Replaces the array of (key, score) by top1_key, top1_score, top2_key, top2_score (-1 if there is one class) and
+    margin; ties go to the smaller key."""
+    ranked = F.sort_array(F.transform(scores, lambda x: F.struct((-x["score"]).alias("s"), x["key"].alias("key"))))
+    two = rows.withColumn("_r", ranked).drop(scores)
+    first, second = F.get("_r", 0), F.get("_r", 1)
+    low = F.coalesce(-second["s"], F.lit(-1.0))
+    return two.withColumns({"top1_key": first["key"], "top1_score": -first["s"], "top2_key": second["key"], "top2_score": low, "margin": -first["s"] - low}).drop("_r")
 
 
 def reasons(*rules: tuple[Column, str]) -> Column:
@@ -54,3 +63,25 @@ def reasons(*rules: tuple[Column, str]) -> Column:
 def first_reason(*rules: tuple[Column, str | Column]) -> Column:
     """The first reason that holds; null for none."""
     return F.coalesce(*(F.when(c, F.lit(text) if isinstance(text, str) else text) for c, text in rules))
+
+
+def paired(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str, strict: bool = True) -> DataFrame:
+    """Left rows with the right row of equal keys, the last by ``order`` where there are several.
+
+    A left row without a partner is an error, or, if not ``strict``, is kept with nulls and ``missing`` set. Columns of
+    both sides must differ, but for the keys.
+    """
+    values = [c for c in right.columns if c not in keys]
+    last = right.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_last"))
+    both = left.join(last, list(keys), "left")
+    if strict:
+        lacking = both.where("_last IS NULL").select(*keys).limit(5).collect()
+        if lacking:
+            raise ValueError(f"no partner for {[tuple(r) for r in lacking]}")
+    flag = [] if strict else [F.col("_last").isNull().alias("missing")]
+    return both.select(*left.columns, *(F.col(f"_last.`{c}`").alias(c) for c in values if c != order), *flag)
+
+
+def own_scores(rows: DataFrame, captions: DataFrame, key: str, vector: str, other: str) -> DataFrame:
+    """key and the product of each row's vector with its own caption's."""
+    return rows.join(captions, key).select(key, dot(F.col(vector), F.col(other)).alias("score"))

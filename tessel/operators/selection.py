@@ -21,11 +21,14 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Order, n: int) -> D
 def number_in_key(df: DataFrame, keys: Sequence[str], order: Order, name: str = "n") -> DataFrame:
     """Adds each row's number within its key, from 1: the number over all rows by key and order, less the key's first.
 
-    No key has to fit one task; keys must not be null.
+    No key has to fit one task; null keys are a key of their own. ``order`` has to tell a key's rows apart.
     """
     numbered = global_number(df, [*keys, *order], "_all")
-    first = numbered.groupBy(*keys).agg(F.min("_all").alias("_first"))
-    return numbered.join(first, list(keys)).withColumn(name, F.col("_all") - F.col("_first") + 1).drop("_all", "_first")
+    first = numbered.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min("_all").alias("_first"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return numbered.join(first, same).withColumn(name, F.col("_all") - F.col("_first") + 1).drop("_all", "_first", *(f"_k{i}" for i in range(len(keys))))
 
 
 def even_pick(df: DataFrame, keys: Sequence[str], order: Order, n: int) -> DataFrame:
@@ -62,15 +65,14 @@ def diverse_pick(df: DataFrame, key: str, group: str, score: str, pos: str, n: i
 
 def class_top(df: DataFrame, key: str, accepted: str, reason: str, order: Order, n: int, text: str) -> DataFrame:
     """Accepted rows beyond the first ``n`` of their class are rejected; ``text`` is added to their reasons."""
-    window = Window.partitionBy(key, accepted).orderBy(*order)
-    over = F.col(accepted) & (F.row_number().over(window) > n)
-    return df.withColumn("_over", over).withColumns({accepted: F.col(accepted) & ~F.col("_over"), reason: F.when(F.col("_over"), F.concat_ws(",", F.nullif(F.col(reason), F.lit("")), F.lit(text))).otherwise(F.col(reason))}).drop("_over")
+    numbered = number_in_key(df, [key, accepted], order, "_n")
+    return numbered.withColumn("_over", F.col(accepted) & (F.col("_n") > n)).drop("_n").withColumns({accepted: F.col(accepted) & ~F.col("_over"), reason: F.when(F.col("_over"), F.concat_ws(",", F.nullif(F.col(reason), F.lit("")), F.lit(text))).otherwise(F.col(reason))}).drop("_over")
 
 
 def unique_ids(df: DataFrame, base: str, order: Order, name: str) -> DataFrame:
     """Repeated ids get the suffix _1, _2, ... in order."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order)) - 1
-    return df.withColumn("_n", n).withColumn(name, F.when(F.col("_n") == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), F.col("_n").cast("string")))).drop("_n")
+    numbered = number_in_key(df, [base], order, "_n").withColumn("_n", F.col("_n") - 1)
+    return numbered.withColumn(name, F.when(F.col("_n") == 0, F.col(base)).otherwise(F.concat(F.col(base), F.lit("_"), F.col("_n").cast("string")))).drop("_n")
 
 
 def admit(df: DataFrame, pos: str, caption: str, reasons: str, cap: int, target: int, batch: int) -> DataFrame:

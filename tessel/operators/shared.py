@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def base(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a new local folder where that is unset."""
+    """``spark.checkpoint.dir``; where that is unset a new folder for a local session, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

@@ -43,14 +43,12 @@ def lines(spark, sf_dir):
 @query(f"WITH {LINES}, {shorten_sql('lines', 'doc_id', 1, 12)} SELECT doc_id, pos::BIGINT AS pos, caption FROM short")
 def t02_shorten_caption(spark, sf_dir):
     """Every line of every document is a caption."""
-    short = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), T.shorten_caption(F.col("raw"), 1, 12).alias("caption"))
-    return short.where("caption IS NOT NULL")
+    return T.shortened(lines(spark, sf_dir), "raw", "caption", 1, 12).select("doc_id", F.col("pos").cast("long").alias("pos"), "caption")
 
 
 @query(f"WITH {LINES}, {shorten_sql('lines', 'doc_id', 2, 20, True)} SELECT doc_id, pos::BIGINT AS pos, caption FROM short")
 def t02_shorten_caption_preserving(spark, sf_dir):
-    short = lines(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), T.shorten_caption(F.col("raw"), 2, 20, True).alias("caption"))
-    return short.where("caption IS NOT NULL")
+    return T.shortened(lines(spark, sf_dir), "raw", "caption", 2, 20, True).select("doc_id", F.col("pos").cast("long").alias("pos"), "caption")
 
 
 BOXES = """boxes AS (SELECT l_orderkey, l_linenumber AS pos, l_shipinstruct AS raw FROM lineitem)"""

@@ -6,7 +6,7 @@ from tessel.functions import hashing as H
 from tessel.operators import mixing, planning, selection
 from tessel.operators import slots as S
 from tessel.plans._registry import query, table
-from tessel.plans.prompts import names
+from tessel.plans.prompts import CANONICAL, names, slotted
 
 LISTS = "p AS (SELECT p_partkey, string_split(p_name, ' ') AS colors, CASE WHEN p_size % 7 = 0 THEN [] ELSE [p_brand, p_type] END AS styles, ['front', 'side', 'top'] AS views FROM part)"
 
@@ -84,7 +84,7 @@ def g11_preset_list_merge(spark, sf_dir):
 @query("SELECT p_partkey, p_name, idx FROM part JOIN (SELECT DISTINCT ON (l_partkey) l_partkey, l_partkey AS idx FROM lineitem WHERE l_quantity = 50) f ON p_partkey = l_partkey")
 def g12_focus_keys(spark, sf_dir):
     focus = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"), F.col("l_partkey").alias("idx")).distinct()
-    return table(spark, sf_dir, "part").join(focus, "p_partkey").select("p_partkey", "p_name", "idx")
+    return planning.focus(table(spark, sf_dir, "part"), "p_partkey", focus).select("p_partkey", "p_name", "idx")
 
 
 @query(f"WITH {LISTS} SELECT sum(least(7, len(colors) * len(styles)) + least(7, len(colors) * len(views)))::BIGINT AS variants FROM p")
@@ -105,7 +105,7 @@ def g15_color_extraction(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.slice(F.array_distinct(F.concat(found, F.array(*map(F.lit, ["red", "white", "black", "gray"])))), 1, 4), "|").alias("colors"))
 
 
-@query()
+@query("""SELECT p_partkey, coalesce(c[(('0x' || substr(md5('7:' || p_partkey || ':color'), 1, 8))::BIGINT % (len(c) + 4) + 1)], '') AS color FROM (SELECT p_partkey, string_split(p_name, ' ') AS c FROM part)""")
 def g16_random_slots(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", planning.sampled_slot(F.split("p_name", " "), 4, F.lit(7), F.col("p_partkey"), F.lit("color")).alias("color"))
@@ -126,11 +126,30 @@ def h01_fnv1a(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("hash", H.fnv1a_64(F.col("name")))
 
 
-@query()
+def xorshift(x):
+    """An unsigned number's successor in SQL; each step names its input once."""
+    step = lambda v, f: f"list_transform([{v}], lambda s: xor(s, {f}))[1]"
+    return step(step(step(x, "(s * 8192) % 18446744073709551616"), "s // 128"), "(s * 131072) % 18446744073709551616")
+
+
+def noise_sql(source, key, seed, text, count):
+    """(key, i, value) of ``count`` numbers from a seed and a text: states s0 to s<count>, one column each."""
+    start = f"CASE WHEN h = 0 THEN 11400714819323198485::UHUGEINT ELSE h END AS s0"
+    states = ", ".join(f"{xorshift(f's{i}')} AS s{i + 1}" for i in range(count))
+    values = ", ".join(f"(s{i} % 65536)::DOUBLE / 32767.5 - 1" for i in range(1, count + 1))
+    return f"""n0 AS (SELECT {key} AS k, xor({seed}::UHUGEINT, {FNV}) AS h FROM (SELECT *, {text} AS x FROM {source})), n1 AS (SELECT k, {start} FROM n0), n2 AS (SELECT k, {states} FROM n1),
+n3 AS (SELECT k, unnest(range({count}))::INTEGER AS i, unnest([{values}]) AS value FROM n2)"""
+
+
+def each_value(df, key, vector):
+    return df.select(key, F.posexplode(vector).alias("i", "value"))
+
+
+@query(f"WITH {slotted()}, c AS (SELECT prompt, {CANONICAL} AS canonical FROM s), {noise_sql('c', 'prompt', 7, 'canonical', 16)} SELECT k AS prompt, i, value FROM n3")
 def h02_h03_hash_latent(spark, sf_dir):
     prompts = names(spark, sf_dir)
     canonical = S.canonical(S.slots(prompts, S.alias_table(spark)))
-    return canonical.select("prompt", H.noise(F.lit(7), F.col("canonical"), 16).alias("latent"))
+    return each_value(canonical.select("prompt", H.noise(F.lit(7), F.col("canonical"), 16).alias("latent")), "prompt", "latent")
 
 
 @query()
@@ -144,15 +163,22 @@ def h05_row_seed(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", H.row_seed(F.concat_ws("-", "event_type", F.col("event_id").cast("string"))).alias("seed"))
 
 
-@query()
+M64 = 18446744073709551616
+MIX = f"list_transform([list_transform([list_transform([z], lambda s: (xor(s, s // 1073741824) * 13787848793156543929) % {M64})[1]], lambda s: (xor(s, s // 134217728) * 10723151780598845931) % {M64})[1]], lambda s: xor(s, s // 2147483648))[1]"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, xor(o_custkey::UHUGEINT, {FNV}) AS s FROM (SELECT *, o_orderkey::VARCHAR AS x FROM orders)), b AS (SELECT o_orderkey, i, (s + i::UHUGEINT * 11400714819323198485) % {M64} AS z FROM a, LATERAL (SELECT unnest(range(1, 9)) AS i)),
+u AS (SELECT o_orderkey, i, (({MIX}) // 2048)::DOUBLE / 9007199254740992 + 0.5::DOUBLE / 9007199254740992 AS u FROM b), p AS (SELECT o_orderkey, (i - 1) // 2 AS k, max(u) FILTER (WHERE i % 2 = 1) AS u, max(u) FILTER (WHERE i % 2 = 0) AS w FROM u GROUP BY ALL)
+SELECT o_orderkey, (2 * k + j)::INTEGER AS i, round(greatest(-6, least(6, sqrt(-2 * ln(u)) * CASE j WHEN 0 THEN cos(2 * pi() * w) ELSE sin(2 * pi() * w) END)), 9) AS value FROM p, (VALUES (0), (1)) t(j)""")
 def h06_gaussian_vectors(spark, sf_dir):
-    return H.gaussian_vectors(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", 8)
+    drawn = each_value(H.gaussian_vectors(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", 8), "o_orderkey", "v")
+    return drawn.withColumn("value", F.round("value", 9))
 
 
-@query("SELECT l_linenumber, sum(sin(l_quantity * exp(-ln(10000.0::DOUBLE) * 1 / 3.0))) AS s, sum(cos(l_quantity * exp(-ln(10000.0::DOUBLE) * 2 / 3.0))) AS c FROM lineitem GROUP BY 1")
+@query("""SELECT l_linenumber, i::INTEGER AS i, sum(CASE WHEN i < 4 THEN sin(a) ELSE cos(a) END) AS s FROM (SELECT l_linenumber, i, l_quantity * exp(-ln(10000.0::DOUBLE) * (i % 4) / 3.0) AS a FROM lineitem, (SELECT unnest(range(8)) AS i)) GROUP BY ALL""")
 def h07_guidance_embedding(spark, sf_dir):
-    v = table(spark, sf_dir, "lineitem").select("l_linenumber", H.sinusoid(F.col("l_quantity"), 8).alias("v"))
-    return v.groupBy("l_linenumber").agg(F.sum(F.col("v")[1]).alias("s"), F.sum(F.col("v")[6]).alias("c"))
+    v = each_value(table(spark, sf_dir, "lineitem").select("l_linenumber", H.sinusoid(F.col("l_quantity"), 8).alias("v")), "l_linenumber", "v")
+    return v.groupBy("l_linenumber", "i").agg(F.sum("value").alias("s"))
 
 
 @query("""SELECT root, rep::INTEGER AS rep, key, pos FROM (SELECT 0 AS root, o_orderpriority AS key, o_orderkey AS pos, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders) , range(2) r(rep) WHERE n <= 30
@@ -163,7 +189,7 @@ def m01_multi_root_union(spark, sf_dir):
     return mixing.union_roots([(a, 30, 2), (b, 10, 1)], "key", "pos").select("root", "rep", "key", "pos")
 
 
-@query()
+@query("""WITH e AS (SELECT event_id, event_type AS key, md5('7:' || event_id) AS h FROM events WHERE value >= 20), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY h, event_id) AS n FROM e) SELECT event_id, key FROM r WHERE n <= 100 ORDER BY h, event_id LIMIT 300""")
 def m02_open_sampling(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value >= 20").select("event_id", F.col("event_type").alias("key"))
     return mixing.sample(e, "event_id", "key", seed=7, per_key=100, most=300)
@@ -177,17 +203,20 @@ def m03_prompt_fallback(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", first_present(given, F.col("o_orderpriority"), F.lit("image")).alias("prompt"))
 
 
-@query()
+RATIOS = {"click": 0.7, "view": 0.2, "purchase": 0.1}
+
+
+@query(f"""WITH r AS (SELECT event_id, event_type AS source, row_number() OVER (PARTITION BY event_type ORDER BY md5('7:' || event_id), event_id) AS n FROM events)
+SELECT event_id, source FROM r WHERE n <= CASE source {" ".join(f"WHEN '{k}' THEN {round(v * 500)}" for k, v in RATIOS.items())} ELSE 0 END""")
 def m04_ratio_mix(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("source"))
-    ratios = {r["source"]: w for r, w in zip(e.select("source").distinct().orderBy("source").limit(3).collect(), (0.7, 0.2, 0.1))}
-    return mixing.ratio_mix(e, "source", "event_id", ratios, 500, seed=7)
+    return mixing.ratio_mix(e, "source", "event_id", RATIOS, 500, seed=7)
 
 
-@query()
+@query(f"WITH {noise_sql('part', 'p_partkey', 'p_size', 'p_name', 8)} SELECT k AS p_partkey, i, value FROM n3")
 def m05_feature_table(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", H.noise(F.col("p_size"), F.col("p_name"), 8).alias("latent"))
+    return each_value(p.select("p_partkey", H.noise(F.col("p_size"), F.col("p_name"), 8).alias("latent")), "p_partkey", "latent")
 
 
 @query("SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")

@@ -14,7 +14,8 @@ def alias_sql(vocabulary=S.VOCABULARY):
 FROM (VALUES {rows}) AS t(slot, priority, key, alias))"""
 
 
-NAMES = "SELECT DISTINCT p_name || CASE p_size % 5 WHEN 0 THEN ' close-up' WHEN 1 THEN ' painting' WHEN 2 THEN ' flying bird' WHEN 3 THEN ' アップ' ELSE '' END AS prompt FROM part"
+TAILS = [" close-up", " painting", " flying bird", " アップ", " 赤い鳥", " kitten with butterflies", " ペンギンの写真", " ice-cream"]
+NAMES = "SELECT DISTINCT p_name || CASE p_size % 9 " + " ".join(f"WHEN {i} THEN '{tail}'" for i, tail in enumerate(TAILS)) + " ELSE '' END AS prompt FROM part"
 TURNS = "SELECT DISTINCT text AS prompt FROM conversations WHERE text IS NOT NULL"
 
 
@@ -32,8 +33,9 @@ s AS (SELECT prompt, tokens, {none}, CASE WHEN subjects IS NULL THEN list_filter
 
 def names(spark, sf_dir):
     """Part names with a word of another slot behind."""
-    size = F.col("p_size") % 5
-    tail = F.when(size == 0, " close-up").when(size == 1, " painting").when(size == 2, " flying bird").when(size == 3, " アップ").otherwise("")
+    tail = F.lit("")
+    for i, text in enumerate(TAILS):
+        tail = F.when(F.col("p_size") % 9 == i, text).otherwise(tail)
     return table(spark, sf_dir, "part").select(F.concat("p_name", tail).alias("prompt"))
 
 
@@ -63,8 +65,11 @@ def p02_matched_alias_keys(spark, sf_dir):
     return S.slots(names(spark, sf_dir), S.alias_table(spark)).select("prompt", F.array_join("colors", "|").alias("keys"))
 
 
-@query(rf"""WITH {slotted()} SELECT prompt, CASE WHEN {PROMPT.format("prompt")} = '' THEN '' WHEN list_has_all(subjects, ['astronaut', 'horse']) THEN 'astronaut horse'
-ELSE coalesce(subjects[1], nullif(array_to_string(tokens, ' '), ''), {PROMPT.format("prompt")}) END AS canonical FROM s""")
+CANONICAL = f"""CASE WHEN {PROMPT.format("prompt")} = '' THEN '' WHEN list_has_all(subjects, ['astronaut', 'horse']) THEN 'astronaut horse'
+ELSE coalesce(subjects[1], nullif(array_to_string(tokens, ' '), ''), {PROMPT.format("prompt")}) END"""
+
+
+@query(f"WITH {slotted()} SELECT prompt, {CANONICAL} AS canonical FROM s")
 def p03_canonicalize_prompt(spark, sf_dir):
     return S.canonical(S.slots(names(spark, sf_dir), S.alias_table(spark)))
 
@@ -110,16 +115,14 @@ def p08_ui_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("key")).distinct()
 
 
-@query("""WITH a AS (SELECT lang AS key, string_agg(DISTINCT source, ',' ORDER BY source) AS words FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT lang AS key, string_agg(DISTINCT source, ',' ORDER BY source) AS words FROM documents WHERE doc_id % 2 = 1 GROUP BY 1)
+@query("""WITH v AS (SELECT DISTINCT p_brand AS key, unnest(string_split(p_name, ' ')) AS alias, p_partkey % 2 AS side FROM part WHERE p_size > 5 OR p_partkey % 2 = 0),
+a AS (SELECT key, string_agg(DISTINCT alias, ',' ORDER BY alias) AS words FROM v WHERE side = 0 GROUP BY 1), b AS (SELECT key, string_agg(DISTINCT alias, ',' ORDER BY alias) AS words FROM v WHERE side = 1 GROUP BY 1)
 SELECT coalesce(a.key, b.key) AS key, CASE WHEN a.key IS NULL THEN 'missing_a' WHEN b.key IS NULL THEN 'missing_b' WHEN a.words <> b.words THEN 'differs' ELSE 'same' END AS state FROM a FULL JOIN b ON a.key = b.key""")
 def p09_vocabulary_parity(spark, sf_dir):
-    """Two copies of a vocabulary (here the sources of each language, in even and in odd documents) have to agree."""
-    words = F.array_join(F.array_sort(F.collect_set("source")), ",").alias("words")
-    docs = table(spark, sf_dir, "documents")
-    a, b = (docs.where(F.col("doc_id") % 2 == k).groupBy(F.col("lang").alias("key")).agg(words) for k in (0, 1))
-    both = a.alias("a").join(b.alias("b"), F.col("a.key") == F.col("b.key"), "full_outer")
-    state = F.when(F.col("a.key").isNull(), "missing_a").when(F.col("b.key").isNull(), "missing_b").when(F.col("a.words") != F.col("b.words"), "differs").otherwise("same")
-    return both.select(F.coalesce("a.key", "b.key").alias("key"), state.alias("state"))
+    """Two copies of a vocabulary (the words of each brand's names, in even and in odd parts) have to agree."""
+    part = table(spark, sf_dir, "part").where("p_size > 5 OR p_partkey % 2 = 0")
+    words = part.select(F.col("p_brand").alias("key"), (F.col("p_partkey") % 2).alias("side"), F.explode(F.split("p_name", " ")).alias("alias"))
+    return S.vocabulary_parity(words.where("side = 0"), words.where("side = 1"))
 
 
 @query(rf"""WITH p AS (SELECT DISTINCT prompt, p, list_distinct(list_filter(string_split(p, ' '), lambda t: length(t) > 1)) AS words FROM (SELECT prompt, {SEARCH.replace("text", "prompt")} AS p FROM ({NAMES}))),

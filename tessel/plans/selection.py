@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessel.operators import ordering, quality, scoring, selection
+from tessel.operators import inventory, ordering, quality, scoring, selection
 from tessel.plans._registry import query, table
 
 ORDERS = "o AS (SELECT *, o_orderpriority AS key, (o_custkey % 40)::VARCHAR AS prompt, round(-o_totalprice / 1000, 3) AS score FROM orders)"
@@ -38,11 +38,12 @@ def w08_even_pick(spark, sf_dir):
 QUALITY = "-coalesce(border_std, 0) / 50.0 - coalesce(edge, 0) * 20.0 - greatest(0, coalesce(nullif(components, 0), 1) - 1) * 0.15::DOUBLE - greatest(0, 0.95::DOUBLE - coalesce(nullif(ratio, 0), 1)) * 2.0"
 
 
-@query(f"WITH {STATS}, q AS (SELECT l_returnflag, round({QUALITY}, 6) AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY score DESC) AS n FROM q) SELECT l_returnflag, score FROM r WHERE n <= 50")
+@query(f"WITH {STATS}, q AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, round({QUALITY}, 6) AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY score DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM q) SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, score FROM r WHERE n <= 50")
 def w10_quality_pick(spark, sf_dir):
     s = stats(spark, sf_dir)
-    scored = s.select("l_returnflag", F.round(selection.quality_score(s.border_std, s.edge, s.components, s.ratio), 6).alias("score"))
-    return selection.first_per_key(scored, ["l_returnflag"], [F.desc("score")], 50)
+    row = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    scored = s.select("l_returnflag", *row, F.round(selection.quality_score(s.border_std, s.edge, s.components, s.ratio), 6).alias("score"))
+    return selection.first_per_key(scored, ["l_returnflag"], [F.desc("score"), *row], 50)
 
 
 @query(f"""WITH {ORDERS}, a AS (SELECT *, row_number() OVER (PARTITION BY key, prompt ORDER BY score DESC, o_orderkey) AS r, max(score) OVER (PARTITION BY key, prompt) AS top, min(o_orderkey) OVER (PARTITION BY key, prompt) AS seen FROM o),
@@ -112,7 +113,7 @@ def w17_contact_sheet_plan(spark, sf_dir):
 @query("SELECT word, n FROM (SELECT word, count(*) AS n, min(p_partkey) AS pos FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY word) ORDER BY n DESC, pos, word LIMIT 40")
 def w18_most_common(spark, sf_dir):
     words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n"), F.min("p_partkey").alias("pos")).orderBy(F.desc("n"), "pos", "word").limit(40).select("word", "n")
+    return quality.most_common(words, "word", "p_partkey")
 
 
 @query("""WITH e AS (SELECT event_id, event_type || (user_id % 50)::VARCHAR AS caption, CASE WHEN value < 20 THEN 'low_caption_score' ELSE '' END AS reasons FROM events),
@@ -188,11 +189,23 @@ def a02_reason_histogram(spark, sf_dir):
     return quality.reason_counts(table(spark, sf_dir, "lineitem").select(reason.alias("r")), "r")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (WHERE value >= 50) AS accepted, avg(value) FILTER (WHERE value >= 50) AS score_mean, min(value) FILTER (WHERE value >= 50) AS score_min, max(value) FILTER (WHERE value >= 50) AS score_max, count(DISTINCT user_id) FILTER (WHERE value >= 50) AS captions FROM events")
+MINED = "m AS (SELECT event_id, value >= 50 AS accepted, value AS score, value / 2 AS quality, 100 - value AS negative, event_type || user_id % 50 AS caption FROM events)"
+
+
+def mined(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", (e.value >= 50).alias("accepted"), e.value.alias("score"), (e.value / 2).alias("quality"), (100 - e.value).alias("negative"), F.concat("event_type", (e.user_id % 50).cast("string")).alias("caption"))
+
+
+@query(f"""WITH {MINED}, a AS (SELECT * FROM m WHERE accepted) SELECT (SELECT count(*) FROM m) AS total, count(*) AS accepted, (SELECT count(*) FROM m WHERE NOT accepted) AS rejected,
+avg(score) AS score_mean, min(score) AS score_min, max(score) AS score_max, avg(quality) AS quality_mean, avg(negative) AS negative_mean, count(DISTINCT caption) AS captions FROM a""")
 def a03_caption_summary(spark, sf_dir):
-    good = F.col("value") >= 50
-    v = F.when(good, F.col("value"))
-    return table(spark, sf_dir, "events").agg(F.count("*").alias("total"), F.count_if(good).alias("accepted"), F.avg(v).alias("score_mean"), F.min(v).alias("score_min"), F.max(v).alias("score_max"), F.count_distinct(F.when(good, F.col("user_id"))).alias("captions"))
+    return quality.caption_summary(mined(spark, sf_dir))
+
+
+@query(f"WITH {MINED} SELECT caption, count(*) AS n FROM m WHERE accepted GROUP BY caption ORDER BY n DESC, min(event_id) LIMIT 40")
+def a03_top_captions(spark, sf_dir):
+    return quality.most_common(mined(spark, sf_dir).where("accepted"), "caption", "event_id")
 
 
 @query("""SELECT d.key, coalesce(n, 0) AS n, score_mean, score_min, score_max, greatest(0, 3000 - coalesce(n, 0)) AS missing FROM (SELECT DISTINCT o_orderpriority AS key FROM orders UNION SELECT 'none') d
@@ -218,27 +231,22 @@ def a08_eval_summary(spark, sf_dir):
 def a09_ab_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "value")
     a, b = e.where("event_id % 2 = 0"), e.select((F.col("event_id") - 1).alias("event_id"), F.col("value").alias("other"))
-    return a.join(b, "event_id").agg(F.avg("value").alias("raw_mean"), F.avg("other").alias("processed_mean"), F.avg(F.col("other") - F.col("value")).alias("delta"), F.count("*").alias("n"))
+    return quality.paired_means(a.join(b, "event_id"), "value", "other")
 
 
 @query("SELECT l_linenumber AS step, sum(l_quantity) AS load, sum(l_extendedprice) AS predict, max(l_extendedprice) AS most, arg_max(l_orderkey, (l_extendedprice, l_orderkey)) AS most_chunk FROM lineitem GROUP BY 1")
 def a10_chunk_timing(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("step")).agg(F.sum("l_quantity").alias("load"), F.sum("l_extendedprice").alias("predict"), F.max("l_extendedprice").alias("most"), F.max_by("l_orderkey", F.struct("l_extendedprice", "l_orderkey")).alias("most_chunk"))
+    return quality.chunk_timing(table(spark, sf_dir, "lineitem"), "l_linenumber", "l_quantity", "l_extendedprice", "l_orderkey")
 
 
 @query("SELECT min(n) AS trained_seed_count, max(n) AS most FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)")
 def a11_a17_key_coverage(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n")).agg(F.min("n").alias("trained_seed_count"), F.max("n").alias("most"))
+    return quality.key_coverage(table(spark, sf_dir, "lineitem"), "l_returnflag")
 
 
 @query("""SELECT CASE WHEN contains(p_name, 'small') THEN 'text_encoder' WHEN regexp_matches(p_name, 'red|blue') THEN 'unet' ELSE 'other' END AS component, CASE WHEN p_size <= 10 THEN 'tiny' WHEN p_size <= 30 THEN 'ok' ELSE 'heavy' END AS tier, count(*) AS n, sum(p_size) AS mb FROM part GROUP BY 1, 2""")
 def a12_artifact_rollup(spark, sf_dir):
-    from tessel.operators.inventory import classify
-
-    rules = [("small", "text_encoder"), ("red|blue", "unet")]
-    p = table(spark, sf_dir, "part")
-    tier = F.when(p.p_size <= 10, "tiny").when(p.p_size <= 30, "ok").otherwise("heavy")
-    return p.groupBy(classify(p.p_name, rules).alias("component"), tier.alias("tier")).agg(F.count("*").alias("n"), F.sum("p_size").alias("mb"))
+    return inventory.rollup(table(spark, sf_dir, "part"), "p_name", "p_size", [("small", "text_encoder"), ("red|blue", "unet")], 10, 30)
 
 
 @query("""SELECT vec_id, list_min(v) AS min, list_max(v) AS max, list_sum(v) / len(v) AS mean, sqrt(list_sum(list_transform(v, lambda x: x * x)) / len(v)) AS rms, len(list_filter(v, lambda x: abs(x) > 1))::INTEGER AS clipped

@@ -38,17 +38,38 @@ def copy_files(files: DataFrame, source: str, destination: str) -> int:
         import pandas as pd
         from pyarrow import fs
 
+        one, source = fs.FileSystem.from_uri(conf["source"])
+        two, destination = fs.FileSystem.from_uri(conf["destination"])
         for batch in batches:
             for path in batch["path"]:
-                one, src = fs.FileSystem.from_uri(f"{conf['source']}/{path}")
-                two, dst = fs.FileSystem.from_uri(f"{conf['destination']}/{path}")
-                two.create_dir(dst.rpartition("/")[0], recursive=True)
-                fs.copy_files(src, dst, source_filesystem=one, destination_filesystem=two)
+                target = f"{destination}/{path}"
+                two.create_dir(target.rpartition("/")[0], recursive=True)
+                fs.copy_files(f"{source}/{path}", target, source_filesystem=one, destination_filesystem=two)
             yield pd.DataFrame({"n": [len(batch)]})
 
     return files.select("path").mapInPandas(work, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Writes each row's ``content`` to ``path`` below a folder that all machines share, in parallel; returns how many."""
+    folder = root.rstrip("/")
+
+    def work(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                target = f"{base}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(target) as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.select("path", "content").mapInPandas(work, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def split_failures(df: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
     """Rows without an error, and those with one, named in ``error``."""
     marked = df.withColumn("error", error)

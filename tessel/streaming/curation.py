@@ -28,15 +28,16 @@ def class_counts(stream: DataFrame, key: str, target: int) -> DataFrame:
 
 
 def capped(stream: DataFrame, key: str, row: str, cap: int) -> DataFrame:
-    """The first ``cap`` rows of each key, as they come; the state holds one number a key."""
+    """The first ``cap`` rows of each key, as batches come and by ``row`` within one; the state holds one number a key."""
 
     def keep(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
-        for batch in batches:
-            taken = batch.sort_values(row).head(max(cap - n, 0))
-            n += len(taken)
-            yield taken
-        state.update((n,))
+        first = None  # of a key's chunks in this batch, at most ``cap`` rows
+        for chunk in batches:
+            first = (chunk if first is None else pd.concat([first, chunk])).sort_values(row).head(max(cap - n, 0))
+        if first is not None and len(first):
+            state.update((n + len(first),))
+            yield first
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
     return stream.groupBy(key).applyInPandasWithState(keep, kinds, "n long", "append", "NoTimeout")

@@ -3,10 +3,14 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tessel.functions import hashing
-from tessel.operators import images, selection
+from tessel.functions import hashing, text
+from tessel.operators import codec, images, mixing, planning, quality, scoring, selection, slots
+from tessel.operators.shared import fresh
+from tessel.sources import readers
 
 
 def fnv(text):
@@ -98,3 +102,135 @@ def test_image_statistics(spark):
     assert {r.id: r.n for r in images.border_stats(df).collect()}[2] == 32 * 32 - 28 * 28
     assert {r.id: r.pixels for r in images.flatten_background(df).collect()}[1] == flat.tobytes()
     assert {r.id: r.pixels for r in images.denoise(df).collect()}[1] == flat.tobytes()
+
+
+def test_crops_equal_plain_arithmetic(spark):
+    rng = random.Random(9)
+    boxes = [(i, rng.randint(5, 200), rng.randint(5, 200), *(rng.random() * 1.2 - 0.1 for _ in range(4))) for i in range(300)]
+    df = spark.createDataFrame(boxes, "id long, w int, h int, a double, b double, c double, d double")
+    got = {r.id: (tuple(r.box), tuple(r.square)) for r in df.select("id", images.bbox(F.col("w"), F.col("h"), F.col("a"), F.col("b"), F.col("c"), F.col("d"), 0.1).alias("box"), images.center_crop(F.col("w"), F.col("h"), 0.6).alias("square")).collect()}
+    for i, w, h, a, b, c, d in boxes:
+        x, y = (c - a) * 0.1, (d - b) * 0.1
+        box = (max(0, int((a - x) * w)), max(0, int((b - y) * h)), min(w, int((c + x) * w)), min(h, int((d + y) * h)))
+        side = max(16, min(int(min(w, h) * 0.6), min(w, h)))
+        assert got[i] == (box if box[2] - box[0] >= 16 and box[3] - box[1] >= 16 else (0, 0, w, h), ((w - side) // 2, (h - side) // 2, side))
+
+
+def test_statistics_without_finite_values_are_nan(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([(1, [nan, inf]), (2, []), (3, None), (4, [1.0, nan, -3.0])], "id long, v array<double>").select("id", quality.tensor_stats(F.col("v")).alias("s")).collect()
+    s = {r.id: r.s for r in rows}
+    assert all(np.isnan([s[i].min, s[i].max, s[i].mean, s[i].rms]).all() for i in (1, 2)) and s[3].min is None
+    assert (s[4].min, s[4].max, s[4].mean, s[4].clipped) == (-3.0, 1.0, -1.0, 1)
+
+
+def test_what_is_missing_is_an_error(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string")
+    right = spark.createDataFrame([(1, "old", 1), (1, "new", 2)], "k int, y string, at int")
+    assert [tuple(r) for r in scoring.paired(left.where("k = 1"), right, ["k"], "at").collect()] == [(1, "a", "new")]
+    with pytest.raises(ValueError, match="no partner"):
+        scoring.paired(left, right, ["k"], "at")
+    wanted = spark.createDataFrame([("b", 0), ("a", 1)], "x string, idx int")
+    assert [(r.x, r.idx) for r in planning.focus(left, "x", wanted).orderBy("idx").collect()] == [("b", 0), ("a", 1)]
+    with pytest.raises(ValueError, match="missing presets"):
+        planning.focus(left.where("k = 1"), "x", wanted)
+    with pytest.raises(ValueError, match="empty"):
+        readers.quality_suite(left, ["c"], id="x")
+    with pytest.raises(ValueError, match="license"):
+        readers.image_files(spark, "/tmp", "")
+    path = fresh(spark, "presets")
+    spark.createDataFrame([("t",)], "title string").selectExpr("array(named_struct('title', title)) AS presets").write.json(path)
+    with pytest.raises(PySparkException):
+        readers.presets(spark, path).collect()
+
+
+def test_hot_and_null_keys_are_numbered_as_by_a_loop(spark):
+    rng = random.Random(10)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.random() < 0.7, float(rng.randint(0, 9))) for i in range(200)]
+    df = spark.createDataFrame(rows, "pos long, key string, accepted boolean, score double").withColumn("reason", F.lit(""))
+    best = {}
+    for i, key, good, score in sorted(rows, key=lambda r: (-r[3], r[0])):
+        if good:
+            best.setdefault(key, []).append(i)
+    kept = {i for ids in best.values() for i in ids[:5]}
+    got = selection.class_top(df, "key", "accepted", "reason", [F.desc("score"), "pos"], 5, "over").collect()
+    assert {r.pos for r in got if r.accepted} == kept and {r.pos for r in got if r.reason == "over"} == {i for i, _, good, _ in rows if good} - kept
+    seen, ids = {}, {}
+    for i, key, *_ in rows:
+        seen[key] = seen.get(key, -1) + 1
+        ids[i] = key if not seen[key] or key is None else f"{key}_{seen[key]}"
+    assert {r.pos: r.id for r in selection.unique_ids(df, "key", ["pos"], "id").collect()} == ids
+
+
+def test_key_filter_and_vocabulary(spark):
+    aliases = slots.alias_table(spark)
+    rows = spark.createDataFrame([("red kitten",), ("ICE-CREAM",), ("deer",), ("赤い車",), ("butterflies",), (None,)], "key string")
+    assert sorted(r.key for r in slots.key_filter(rows, "key", "cat, アイス,", aliases).collect()) == ["ICE-CREAM", "red kitten"]
+    assert all(slots.key_filter(rows, "key", w, aliases).count() == 6 for w in ("*", "all", "", " , ", None))
+    found = {r.prompt: (r.subjects, r.colors) for r in slots.slots(rows, aliases, "key").collect()}
+    assert found == {"red kitten": (["cat"], ["red"]), "ICE-CREAM": (["icecream"], []), "deer": (["deer"], []), "赤い車": (["car"], ["red"]), "butterflies": (["butterfly"], [])}
+    assert len(slots.SUBJECTS) == 73 and sum(len(w) + 1 for w in slots.SUBJECTS.values()) == 296
+    one = aliases.select("key", "alias")
+    assert {r.state for r in slots.vocabulary_parity(one, one).collect()} == {"same"}
+    assert {(r.key, r.state) for r in slots.vocabulary_parity(one.where("alias <> 'pony'"), one.where("key <> 'deer'")).where("state <> 'same'").collect()} == {("horse", "differs"), ("deer", "missing_b")}
+
+
+def test_steps_shorten_as_the_expression_does(spark):
+    rows = ["A photo of a red cat sitting and with x", "there are two dogs", "a cat and with dogs", "cat cat cat", "the dog is running", "one sam ", "", "a b c 123", "big red fox eating walking is are was were", None, "x" * 50, "green bird  near   a tree"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, raw string")
+    for args in ((1, 6, False), (2, 20, True), (1, 2, False)):
+        one = {r.i: r.s for r in df.select("i", text.shorten_caption(F.col("raw"), *args).alias("s")).where("s IS NOT NULL").collect()}
+        assert one == {r.i: r.s for r in text.shortened(df, "raw", "s", *args).collect()}
+    assert {r.i: r.s for r in text.shortened(df, "raw", "s").collect()}[2] == "cat and"  # markers cut in their order
+
+
+def test_token_counts_equal_a_loop(spark):
+    rows = [(1, "the other thing 12"), (2, None), (3, "station " * 60), (4, "ünïcode, the!")]
+    got = {r.i: (r.tokens, r.clipped) for r in codec.token_counts(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()}
+    import re
+
+    for i, t in rows:
+        n = 2 + sum(len(codec.merged(w, codec.MERGES)) for w in re.findall(codec.WORD, (t or "").lower()))
+        assert got[i] == (n, min(n, 77))
+    assert codec.merged("theater", codec.MERGES) == ["the", "a", "t", "er"] and codec.merged("station", codec.MERGES) == ["st", "a", "tion"]
+
+
+def test_foreground_equals_a_flood(spark):
+    rng = np.random.default_rng(3)
+    pictures = [(i, 12, 12, (rng.random((12, 12, 1)) < 0.35).repeat(3, axis=2).astype(np.uint8) * 200) for i in range(20)]
+    df = spark.createDataFrame([(i, w, h, a.tobytes()) for i, w, h, a in pictures], "id long, width int, height int, pixels binary")
+    got = {r.id: r for r in images.foreground_stats(df, least=2).collect()}
+    for i, _, _, a in pictures:
+        edge = np.concatenate([a[0], a[-1], a[:, 0], a[:, -1]])
+        mask = np.abs(a[:, :, 0] - float(np.median(edge[:, 0]))) > 36 / np.sqrt(3)
+        left, sizes = {tuple(p) for p in np.argwhere(mask)}, []
+        while left:
+            todo, n = [left.pop()], 0
+            while todo:
+                y, x = todo.pop()
+                n += 1
+                near = {(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)} & left
+                left -= near
+                todo += near
+            sizes += [n] * (n >= 2)
+        assert (got[i].components, got[i].area, got[i].largest) == (len(sizes), sum(sizes), max(sizes, default=0))
+
+
+def test_blurs_keep_what_they_should(spark):
+    a = np.full((24, 24, 3), 60, np.uint8)
+    a[6:18, 6:18] = (200, 40, 40)
+    noisy = a.copy()
+    noisy[2, 2] = 70
+    df = spark.createDataFrame([(1, 24, 24, noisy.tobytes())], "id long, width int, height int, pixels binary")
+    image = lambda x: np.frombuffer(x.first().pixels, np.uint8).reshape(24, 24, 3).astype(int)
+    flat, smooth = image(images.flatten_background(df)), image(images.denoise(df))
+    assert (flat[:4, :4] == 60).all() and (np.abs(flat[8:16, 8:16] - a[8:16, 8:16]) <= 1).all()  # noise goes, the object stays
+    assert abs(smooth[2, 2, 0] - 60) < 4 and (smooth[10:14, 10:14] == a[10:14, 10:14]).all()
+
+
+def test_samples_keep_to_their_quotas(spark):
+    rows = [(i, "a" if i % 3 else "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, key string")
+    got = mixing.ratio_mix(df, "key", "id", {"a": 0.5, "b": 0.25}, 100, seed=3).groupBy("key").count().collect()
+    assert {r.key: r["count"] for r in got} == {"a": 50, "b": 25}
+    assert mixing.sample(df, "id", "key", 3, 20, 30).count() == 30
