@@ -16,9 +16,12 @@ ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset a new local one for a local
+    session, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -33,12 +36,15 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: later steps survive lost executors and recompute nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps the Arrow batches of text small, so that long documents don't meet in one batch by thousands."""
+    """Keeps the Arrow batches of text small, so that long documents don't meet in one batch by thousands.
+
+    Spark bounds a batch's bytes by itself (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB).
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
