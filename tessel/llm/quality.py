@@ -164,7 +164,8 @@ def _step(vectors: DataFrame, n: int, estimate: DataFrame) -> DataFrame:
     near = near.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("start", "most"))).alias("most"))
     core = join_few(at, near, "key", n).where(F.col("d2") <= F.col("most")[F.col("start")])
     off = [c - F.col("center")[i] for i, c in enumerate(x)]
-    sums = core.groupBy("key", "start").agg(F.first("center").alias("old"), *(F.avg(o).alias(f"s_{i}") for i, o in enumerate(off)), *(F.avg(off[i] * off[j]).alias(f"s_{i}_{j}") for i, j in TRIANGLE))
+    sums = core.groupBy("key", "start").agg(*(F.avg(o).alias(f"s_{i}") for i, o in enumerate(off)), *(F.avg(off[i] * off[j]).alias(f"s_{i}_{j}") for i, j in TRIANGLE))
+    sums = sums.join(estimate.select("key", "start", F.col("center").alias("old")), ["key", "start"])
     center = F.array(*(F.col("old")[i] + F.col(f"s_{i}") for i in range(len(x)))).alias("center")
     cov = F.array(*(F.col(f"s_{i}_{j}") - F.col(f"s_{i}") * F.col(f"s_{j}") for i, j in TRIANGLE)).alias("cov")
     return scratch(_factored(sums.select("key", "start", center, cov), ["key", "start"]), "quality-step")
