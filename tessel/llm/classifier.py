@@ -238,7 +238,10 @@ def classify(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "q
 
 
 def keep_good(docs: DataFrame, trees: Trees, least: float, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is ``least`` or more, with all their columns."""
+    """The rows of ``docs`` whose score is ``least`` or more, with all their columns, of any name.
+
+    Null texts are empty and scored as such; ties stay; repeated rows stay or go together; empty tables give none.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     at = docs.columns.index(text)

@@ -68,7 +68,10 @@ def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, last: int | None = LAST, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 (and ids, if kept) of every row's tokens; null texts are empty."""
+    """doc_id, piece, start, length and ids_crc32 (and ids, if kept) of every row's tokens; null texts are empty.
+
+    An empty text is its end token, or, without one, has no piece. Repeated rows are cut each; empty tables give none.
+    """
     small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<long>" if keep_ids else "")
 
@@ -123,7 +126,9 @@ def pack(cut_up: DataFrame, length: int = LENGTH, most: int = OPEN) -> DataFrame
     """Adds sequence_id and offset to pieces: each task packs its share online by best fit.
 
     Pieces are dealt by the hash of what they hold and come in that order, so a task that runs again packs alike.
-    A task holds ``most`` bins at once; sequence ids count up from the task's number times 2**40.
+    A task holds ``most`` bins at once; sequence ids count up from the task's number times 2**40. Pieces of rows without a
+    doc_id, repeated pieces and ties are packed each; an empty table has no sequences; other columns pass, but for the two
+    that are added.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_up.schema) + ", sequence_id long, offset long"
     order = F.xxhash64("doc_id", "piece", "length", "ids_crc32")

@@ -34,6 +34,54 @@ def test_small_tables_are_searched_whole(spark, monkeypatch):
         assert queries.op4_ann(spark, "").count() == 0
 
 
+def recall(rows, got, query):
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=float)
+    hits = asked = 0
+    for q in ids[query(ids)]:
+        s = np.where(ids == q, -np.inf, x @ x[ids == q][0])
+        hits += len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+        asked += 20
+    return hits / asked
+
+
+def test_recall_over_thousands_of_lists(spark, monkeypatch):
+    """Clusters of unequal spread, and vectors without any structure: lists are chosen as the data need it."""
+    monkeypatch.setattr(ann, "LIST_SIZE", 8)
+    monkeypatch.setattr(ann, "FEW_POINTS", 1024)
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(200, 24))
+    clustered = centers[rng.integers(0, 200, 20_000)] + rng.normal(size=(20_000, 24)) * rng.choice([0.1, 0.4], (20_000, 1))
+    for name, x in (("clusters", clustered), ("none", rng.normal(size=(20_000, 24)))):
+        rows = list(zip(range(len(x)), x.tolist()))
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.search(table, queries.F.col("vec_id") % 400 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+            assert r.score == float(np.dot(x[r.query_id], x[r.vec_id])) or abs(r.score - x[r.query_id] @ x[r.vec_id]) < 1e-12
+        assert recall(rows, got, lambda ids: ids % 400 == 0) >= 0.9, name
+
+
+def test_whole_search_is_exact(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(3000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(table, queries.F.col("vec_id") % 100 == 0, target=1.0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert recall(rows, got, lambda ids: ids % 100 == 0) == 1.0
+
+
+def test_few_lists_suffice_for_clusters():
+    rng = np.random.default_rng(13)
+    centers = rng.normal(size=(64, 16)) * 4
+    x = np.repeat(centers, 256, axis=0) + rng.normal(size=(64 * 256, 16)) * 0.2
+    points, spread = ann.balanced_centroids(x, 1024)
+    q = x[::500]
+    floor = np.partition(q @ x[::4].T, -21, axis=1)[:, -21]
+    row, _ = ann.searched(ann.graph(points, spread), q, floor, ann.TARGET)
+    assert np.bincount(row).max() < 256 and np.bincount(row).min() >= ann.LEAST_PROBES
+
+
 def test_recall(spark):
     data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = data.select("vec_id", "embedding").toPandas()
