@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows of its predecessor and returns the columns of documents; the
 last returns the pieces of packed sequences. Quality rules and classifier let rejected documents go, one document of each
 group of near copies (five-word shingles, similarity 0.8 or more) stays, and secrets are replaced by a mark.
+
+In all stages null texts are empty, rows without doc_id or with that of another row are rows of their own, repeated rows
+are treated alike, further columns pass, and empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -18,22 +21,27 @@ LEAST_SCORE = 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that pass the base rules and are no outliers of their language and source."""
     return quality.keep_good(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that trees fitted on labelled ones of ``docs`` score LEAST_SCORE or more; all of them without labels."""
     return classifier.keep_good(docs, classifier.train_on(docs, table(spark, sf_dir, "labels")), LEAST_SCORE)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest doc_id, and one of equal rows."""
     return jaccard.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mark; null texts stay null."""
     return secrets.redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, placed in sequences; an empty text is a piece of its end token."""
     return packing.pack(packing.pieces(docs, tokenizer("byte_bpe_50k.json")))
 
 
