@@ -100,3 +100,16 @@ def until(df: DataFrame, pos: str, reason: str, n: int) -> DataFrame:
     """The rows up to the ``n``-th without a reason, in order; all rows if there are fewer."""
     summed = global_sum(df, [pos], F.col(reason).isNull().cast("long"), "_sum")
     return summed.where((F.col("_sum") < n) | ((F.col("_sum") == n) & F.col(reason).isNull())).drop("_sum")
+
+
+def rolling_mean(df: DataFrame, keys: Sequence[str], order: Order, value: str, width: int, name: str = "mean", chunk: int = 100_000) -> DataFrame:
+    """Adds the mean of ``value`` over the last ``width`` rows of a key, the row itself included.
+
+    A key's rows are dealt into chunks; the last rows of one stand before the next as well, so no key has to fit one task.
+    """
+    at = F.col("_n") - 1
+    own = F.struct(F.floor(at / chunk).alias("c"), F.lit(False).alias("before"))
+    again = F.when(at % chunk > chunk - width, F.struct((F.floor(at / chunk) + 1).alias("c"), F.lit(True).alias("before")))
+    dealt = number_in_key(df, keys, order, "_n").withColumn("_x", F.explode(F.array_compact(F.array(own, again)))).withColumn("_c", F.col("_x.c"))
+    last = Window.partitionBy(*keys, "_c").orderBy("_n").rowsBetween(1 - width, 0)
+    return dealt.withColumn(name, F.avg(value).over(last)).where(~F.col("_x.before")).drop("_n", "_x", "_c")

@@ -264,6 +264,4 @@ def a15_mse_psnr(spark, sf_dir):
 
 @query("SELECT event_id, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS mean FROM events")
 def a16_rolling_mean(spark, sf_dir):
-    from pyspark.sql.window import Window
-
-    return table(spark, sf_dir, "events").select("event_id", F.avg("value").over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-19, 0)).alias("mean"))
+    return selection.rolling_mean(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["user_id"], ["event_id"], "value", 20).select("event_id", "mean")

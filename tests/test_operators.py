@@ -234,3 +234,14 @@ def test_samples_keep_to_their_quotas(spark):
     got = mixing.ratio_mix(df, "key", "id", {"a": 0.5, "b": 0.25}, 100, seed=3).groupBy("key").count().collect()
     assert {r.key: r["count"] for r in got} == {"a": 50, "b": 25}
     assert mixing.sample(df, "id", "key", 3, 20, 30).count() == 30
+
+
+def test_rolling_means_go_on_over_chunks(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.choice("aaab"), float(rng.randint(0, 99))) for i in range(120)]
+    got = {r.id: r["mean"] for r in selection.rolling_mean(spark.createDataFrame(rows, "id long, key string, value double"), ["key"], ["id"], "value", 5, chunk=7).collect()}
+    seen = {}
+    for i, key, value in rows:
+        seen.setdefault(key, []).append(value)
+        last = seen[key][-5:]
+        assert abs(got[i] - sum(last) / len(last)) < 1e-9
