@@ -1,37 +1,83 @@
-"""Counts of BPE tokens, with the work done once for each distinct word."""
+"""Counts of BPE tokens of prompts, with the work done once for each distinct word."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Mapping, Sequence
+from functools import cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[a-z]+|[0-9]|[^\sa-z0-9]+"
-#: A small table of merges, from the first on; callers bring their own.
-MERGES = {pair: i for i, pair in enumerate([("t", "h"), ("th", "e"), ("i", "n"), ("e", "r"), ("a", "n"), ("o", "n"), ("an", "d"), ("in", "g"), ("o", "u"), ("r", "e"), ("s", "t"), ("e", "n"), ("c", "h"), ("l", "e"), ("t", "i"), ("ti", "on")])}
+#: Runs of letters, of digits, and of anything else but spaces.
+WORD = r"\p{L}+|\p{Nd}+|[^\p{L}\p{Nd}\s\p{Z}\x1c-\x1f\x85]+"
+END = "</w>"
+#: Tokens of a prompt at most; longer ones are cut off before their end token.
+MOST = 77
 
+Merges = Mapping[tuple[str, str], int]
 
-def merged(word: str, merges: Mapping[tuple[str, str], int]) -> list[str]:
-    """A word's tokens: the neighbours of lowest rank are merged until there are none."""
-    parts = list(word)
-    while len(parts) > 1:
-        rank, at = min((merges.get((a, b), len(merges)), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-        if rank == len(merges):
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return parts
 
+@cache
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a vocabulary: its own if it prints, else the next from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
 
-def token_counts(docs: DataFrame, row: str, text: str, merges: Mapping[tuple[str, str], int] = MERGES, most: int = 77) -> DataFrame:
-    """row, tokens (with start and end) and clipped (at most ``most``)."""
+
+@cache
+def read_merges(path: str) -> Merges:
+    """The merges of a vocabulary file in the JSON form of the tokenizers library, with their ranks."""
+    with open(path, encoding="utf-8") as file:
+        listed = json.load(file)["model"]["merges"]
+    return {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): rank for rank, m in enumerate(listed)}
+
+
+def symbols(word: str) -> list[str]:
+    """A word's bytes as letters, the last one marked as the word's end."""
+    letters = [byte_letters()[b] for b in word.encode("utf-8")]
+    return [*letters[:-1], letters[-1] + END] if letters else []
+
+
+def merged(parts: Sequence[str], merges: Merges) -> list[str]:
+    """The tokens of a word: neighbours of the lowest rank are joined, from the left, until none have a rank.
+
+    A heap holds the neighbours that have one, so that a very long word takes little more than its length.
+    """
+    held: list[str | None] = list(parts)
+    n = len(held)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    todo = [(merges[pair], i) for i, pair in enumerate(zip(parts, parts[1:])) if pair in merges]
+    heapify(todo)
+    while todo:
+        rank, i = heappop(todo)
+        j = after[i]
+        if held[i] is None or j >= n or merges.get((held[i], held[j])) != rank:
+            continue  # one of the two has been joined since
+        held[i], held[j], after[i] = held[i] + held[j], None, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and after[k] < n and (rank := merges.get((held[k], held[after[k]]))) is not None:
+                heappush(todo, (rank, k))
+    return [x for x in held if x is not None]
+
+
+def token_counts(docs: DataFrame, row: str, text: str, path: str, most: int = MOST) -> DataFrame:
+    """row, tokens (with start and end) and clipped (at most ``most``) of every row.
+
+    ``path`` is a vocabulary's file on every machine. Texts are lower-cased; null ones have a start and an end. Rows that
+    share an id have the tokens of all of them.
+    """
     words = docs.select(row, F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))).alias("word")).groupBy(row, "word").agg(F.count("*").alias("n"))
-    table = dict(merges)
 
     def sizes(batches):
+        merges = read_merges(path)
         for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "size": [len(merged(w, table)) for w in batch["word"]]})
+            yield pd.DataFrame({"word": batch["word"], "size": [len(merged(symbols(w), merges)) for w in batch["word"]]})
 
     known = words.select("word").distinct().mapInPandas(sizes, "word string, size long")
     sums = words.join(known, "word").groupBy(row).agg(F.sum(F.col("n") * F.col("size")).alias("k"))

@@ -75,4 +75,6 @@ def s15_decode_ppm(spark, sf_dir):
 
 @query()
 def t23_token_count(spark, sf_dir):
-    return codec.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    import public_tokenizers
+
+    return codec.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))

@@ -184,15 +184,22 @@ def test_steps_shorten_as_the_expression_does(spark):
     assert {r.i: r.s for r in text.shortened(df, "raw", "s").collect()}[2] == "cat and"  # markers cut in their order
 
 
-def test_token_counts_equal_a_loop(spark):
-    rows = [(1, "the other thing 12"), (2, None), (3, "station " * 60), (4, "ünïcode, the!")]
-    got = {r.i: (r.tokens, r.clipped) for r in codec.token_counts(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()}
-    import re
-
+def test_token_counts_equal_a_library(spark):
+    import public_tokenizers
+    import regex
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path).model
+    rows = [(1, "the other thing 12"), (2, None), (3, "station " * 60), (4, "ünïcode, the! 赤い車"), (5, "x" * 30_000), (6, "Q7&&  --don't 1/2")]
+    rows += [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id > 100").limit(40).collect()]
+    got = {r.i: (r.tokens, r.clipped) for r in codec.token_counts(spark.createDataFrame(rows, "i long, t string"), "i", "t", path).collect()}
     for i, t in rows:
-        n = 2 + sum(len(codec.merged(w, codec.MERGES)) for w in re.findall(codec.WORD, (t or "").lower()))
+        words = regex.findall(codec.WORD, (t or "").lower())
+        n = 2 + sum(len(library.tokenize("".join(codec.byte_letters()[b] for b in w.encode()))) for w in words)
         assert got[i] == (n, min(n, 77))
-    assert codec.merged("theater", codec.MERGES) == ["the", "a", "t", "er"] and codec.merged("station", codec.MERGES) == ["st", "a", "tion"]
+    merges = codec.read_merges(path)
+    assert codec.merged(codec.symbols("stations"), merges) == [x.value for x in library.tokenize("stations")]
 
 
 def test_foreground_equals_a_flood(spark):
