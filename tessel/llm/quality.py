@@ -24,6 +24,8 @@ PRIOR_WORDS = 50
 CORE = 0.75
 #: Concentration steps from every start, and further ones from the start that then has the least determinant.
 FIRST_STEPS, MORE_STEPS = 2, 2
+#: Ranks of medians and of CORE are right to one in so many; a task's summary of a key has some thousand numbers at most.
+ACCURACY = 1000
 #: Median and upper 0.1 % point of chi-squared with four degrees of freedom.
 CHI_MEDIAN, CHI_TOP = 3.3567, 18.467
 #: Rows that a language's estimate counts for in its groups', and the whole corpus's in a language's.
@@ -143,7 +145,7 @@ def _starts(vectors: DataFrame, n: int, first: DataFrame) -> DataFrame:
     those of the deviations' hyperbolic tangents, or those of their directions. The last two hardly move by outliers."""
     d = len(DIMENSIONS)
     off = [F.col(c) - F.col("center")[i] for i, c in enumerate(DIMENSIONS)]
-    wide = join_few(vectors, first, "key", n).groupBy("key").agg(F.array(*(F.percentile_approx(F.abs(x), 0.5, 10_000) for x in off)).alias("mad"))
+    wide = join_few(vectors, first, "key", n).groupBy("key").agg(F.array(*(F.percentile_approx(F.abs(x), 0.5, ACCURACY) for x in off)).alias("mad"))
     spread = scratch(first.join(wide, "key").select("key", "center", F.transform("mad", lambda m: 1.4826 * m).alias("sd")), "quality-spread")
     at = join_few(vectors, spread, "key", n).select("key", *((x / (F.col("sd")[i] + FLOORS[i])).alias(f"z{i}") for i, x in enumerate(off)))
     length = F.greatest(F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, d)), F.col("z0") * F.col("z0"))), F.lit(1e-9))
@@ -160,7 +162,7 @@ def _step(vectors: DataFrame, n: int, estimate: DataFrame) -> DataFrame:
     """Centers and scatters of the CORE share of each estimate's rows that are nearest to it; the determinant can't grow."""
     x = [F.col(c) for c in DIMENSIONS]
     at = join_few(vectors, estimate, "key", n).select("key", "start", *DIMENSIONS, "center", distance(x, F.struct("center", "factor")).alias("d2"))
-    near = at.groupBy("key", "start").agg(F.percentile_approx("d2", CORE, 10_000).alias("most"))
+    near = at.groupBy("key", "start").agg(F.percentile_approx("d2", CORE, ACCURACY).alias("most"))
     near = near.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("start", "most"))).alias("most"))
     core = join_few(at, near, "key", n).where(F.col("d2") <= F.col("most")[F.col("start")])
     off = [c - F.col("center")[i] for i, c in enumerate(x)]
@@ -180,7 +182,7 @@ def concentrated(vectors: DataFrame) -> DataFrame:
     aggregate of narrow rows, combined in the tasks and written to the shared folder; every row takes part.
     """
     x = [F.col(c) for c in DIMENSIONS]
-    first = scratch(vectors.groupBy("key").agg(F.count("*").alias("n"), F.array(*(F.percentile_approx(c, 0.5, 10_000) for c in x)).alias("center")), "quality-centers")
+    first = scratch(vectors.groupBy("key").agg(F.count("*").alias("n"), F.array(*(F.percentile_approx(c, 0.5, ACCURACY) for c in x)).alias("center")), "quality-centers")
     n = first.count()
     estimate = _starts(vectors, n, first.select("key", "center"))
     for _ in range(FIRST_STEPS):
@@ -189,7 +191,7 @@ def concentrated(vectors: DataFrame) -> DataFrame:
     estimate = estimate.groupBy("key").agg(F.min_by(F.struct("center", "factor"), F.struct(determinant.alias("d"), "start")).alias("e")).select("key", F.lit(0).alias("start"), "e.*")
     for _ in range(MORE_STEPS):
         estimate = _step(vectors, n, estimate)
-    ends = join_few(vectors, estimate, "key", n).groupBy("key").agg(F.percentile_approx(distance(x, F.struct("center", "factor")), 0.5, 10_000).alias("median"))
+    ends = join_few(vectors, estimate, "key", n).groupBy("key").agg(F.percentile_approx(distance(x, F.struct("center", "factor")), 0.5, ACCURACY).alias("median"))
     scale = F.greatest(F.col("median") / CHI_MEDIAN, F.lit(1.0))
     f = lambda i, j: F.col("factor")[_at(i, j)]
     cov = [scale * sum((f(i, k) * f(j, k) for k in range(1, j + 1)), f(i, 0) * f(j, 0)) for i, j in TRIANGLE]
@@ -227,7 +229,7 @@ def fit(counted: DataFrame) -> DataFrame:
     """
     rows = counted.where("q.n_words > 0").withColumn("lang", F.substring_index("group", "\x1f", 1))
     key = F.explode(F.array("group", "lang", F.lit(WHOLE))).alias("key")
-    per_word = [F.count("*").alias("n"), *(F.percentile_approx(F.col(f"q.{count}") / F.col("q.n_words"), 0.5, 10_000).alias(name) for name, (count, _, _) in RATES.items())]
+    per_word = [F.count("*").alias("n"), *(F.percentile_approx(F.col(f"q.{count}") / F.col("q.n_words"), 0.5, ACCURACY).alias(name) for name, (count, _, _) in RATES.items())]
     wide = scratch(rows.select(key, "q").groupBy("key").agg(*per_word), "quality-wide")
     toward = lambda own, other: [(_share(F.col(f"{own}.n")) * F.col(f"{own}.{c}") + (1 - _share(F.col(f"{own}.n"))) * F.col(f"{other}.{c}")).alias(c) for c in DIMENSIONS]
     medians = scratch(_drawn(wide, toward).select("group", F.struct(*DIMENSIONS).alias("medians")), "quality-medians")
