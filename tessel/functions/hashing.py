@@ -68,38 +68,18 @@ def feature_places(name: Column, weight: Column, rounds: Column, count: int) ->
     return F.aggregate(F.sequence(F.lit(1), rounds), F.struct(fnv1a_64(name).alias("s"), empty.alias("v")), step, lambda a: a["v"])
 
 
-def compositional(features: DataFrame, key: str, count: int) -> DataFrame:
-    """(key, index, value): the sums of all features' places, clipped to [-1, 1]. ``features`` has name, weight, rounds.
+def compositional(features: DataFrame, noises: DataFrame, key: str, count: int) -> DataFrame:
+    """(key, index, value): the sums of all features' places and of noise, clipped to [-1, 1].
 
-    Sums add in no fixed order, so values agree to rounding.
+    ``features`` has name, weight, rounds; ``noises`` an array of ``count`` numbers, one row a key. Sums add in no fixed
+    order, so values agree to rounding.
     """
-    places = features.select(key, F.explode(feature_places(F.col("name"), F.col("weight"), F.col("rounds"), count)).alias("x"))
-    summed = places.groupBy(key, "x.index").agg(F.sum("x.value").alias("value"))
+    places = features.select(key, F.explode(feature_places(F.col("name"), F.col("weight"), F.col("rounds"), count)).alias("x")).select(key, "x.index", "x.value")
+    ground = noises.select(key, F.posexplode("noise").alias("index", "value")).withColumn("index", F.col("index").cast("long"))
+    summed = places.unionByName(ground).groupBy(key, "index").agg(F.sum("value").alias("value"))
     return summed.select(key, "index", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "value")).alias("value"))
 
 
-def prompt_features(slotted: DataFrame, canonical: DataFrame, version: int = 2) -> DataFrame:
-    """(prompt, name, weight, rounds) of every slot, content token, neighbouring pair and whole phrase of a prompt."""
-    from tessel.operators.slots import STOPWORDS, phrase_tokens
-
-    later = version >= 2
-    main, second = (4, 3) if later else (2, 2)
-    rows = slotted.join(canonical, "prompt").withColumn("phrase", phrase_tokens(later)).withColumn("row", F.when(F.size("phrase") > 0, F.col("phrase")).otherwise(F.col("tokens")))
-
-    def of(label: str, keys: Column, weight: float, rounds: int) -> Column:
-        return F.transform(keys, lambda k: F.struct(F.concat(F.lit(f"{label}:"), k).alias("name"), F.lit(weight).alias("weight"), F.lit(rounds).alias("rounds")))
-
-    subject = F.when(F.size("subjects") > 0, of("subject", F.col("subjects"), 0.95 if later else 0.75, main)).when(F.col("canonical") != "", of("subject", F.array("canonical"), 0.45, second)).otherwise(of("subject", F.array().cast("array<string>"), 0.0, 0))
-    stop = lambda t: t.isin(STOPWORDS)
-    known = F.flatten(F.array("subjects", "colors", "actions", "views", "modifiers", "styles"))
-    content = F.slice(F.filter("row", lambda t: ~stop(t) & ~F.array_contains(known, t)), 1, 8)
-    pairs = F.filter(F.transform(F.slice("row", 2, F.greatest(F.size("row") - 1, F.lit(0))), lambda b, i: F.when(~stop(b) & ~stop(F.get("row", i)), F.concat_ws("_", F.get("row", i), b))), lambda x: x.isNotNull())
-    whole = F.array_join("row", " ")
-    parts = [subject, of("color", F.col("colors"), 0.60, second), of("action", F.col("actions"), 0.65, second), *([of("view", F.col("views"), 0.60, second)] if later else []),
-             of("modifier", F.col("modifiers"), 0.42, second), of("style", F.col("styles"), 0.38, second), of("token", content, 0.18, 2), of("bigram", pairs, 0.12, 2), of("full", F.when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>")), 0.10, 2)]
-    return rows.select("prompt", F.explode(F.flatten(F.array(*parts))).alias("x")).select("prompt", "x.*")
-
-
 def sinusoid(scale: Column, size: int) -> Column:
     """Sines, then cosines, of a scale at geometric frequencies."""
     half = size // 2

@@ -154,8 +154,7 @@ def h02_h03_hash_latent(spark, sf_dir):
 
 @query()
 def h04_compositional_latent(spark, sf_dir):
-    slotted = S.slots(names(spark, sf_dir), S.alias_table(spark))
-    return H.compositional(H.prompt_features(slotted, S.canonical(slotted)), "prompt", 64)
+    return S.compositional_latents(names(spark, sf_dir), S.alias_table(spark), 7, 64)
 
 
 @query(f"SELECT event_id, ({SIGNED}) & 2147483647 AS seed FROM (SELECT event_id, {FNV} AS h FROM (SELECT event_id, event_type || '-' || event_id AS x FROM events))")

@@ -252,3 +252,53 @@ def test_rolling_means_go_on_over_chunks(spark):
         seen.setdefault(key, []).append(value)
         last = seen[key][-5:]
         assert abs(got[i] - sum(last) / len(last)) < 1e-9
+
+
+def latent(prompt, seed, count, version):
+    """Features and noise of a prompt with a plain loop, over the library's own slots for single prompts."""
+    import re
+
+    token = lambda t: re.findall(r"[a-z0-9]+|[\u3040-\u30ff\u3400-\u9fff]+", re.sub(r"\s+", " ", t.strip().lower().replace("_", " ").replace("-", " ")))
+
+    def fits(tokens, alias):
+        compact = re.sub(r"[\s_-]+", "", alias.lower())
+        return bool(token(alias)) and set(token(alias)) <= set(tokens) or not alias.isascii() and compact in "".join(tokens)
+
+    vocabulary = {s: a for s, a in slots.VOCABULARY.items() if s != "view" or version >= 2}
+    tokens = token(prompt)
+    found = {s: [k for k, more in a.items() if any(fits(tokens, x) for x in (k, *more))] for s, a in vocabulary.items()}
+    found.setdefault("view", [])
+    unknown = [] if any(found.values()) else [t for t in tokens if t not in slots.STOPWORDS]
+    about = "astronaut horse" if {"astronaut", "horse"} <= set(found["subject"]) else (found["subject"] or [" ".join(tokens)])[0]
+    views = [w for v in found["view"] for w in ([v] if v == "closeup" else [v, "view"])]
+    row = found["style"] + found["color"] + found["modifier"] + found["subject"] + found["action"] + views + unknown or tokens
+    known = {t for a in vocabulary.values() for k, more in a.items() for x in (k, *more) if fits(token(" ".join(row)), x) for t in token(x)}
+    m, n = (4, 3) if version >= 2 else (2, 2)
+    parts = [(f"subject:{k}", 0.95 if version >= 2 else 0.75, m) for k in found["subject"]] or [(f"subject:{about}", 0.45, n)]
+    for slot, weight in (("color", 0.6), ("action", 0.65), ("view", 0.6), ("modifier", 0.42), ("style", 0.38)):
+        parts += [(f"{slot}:{k}", weight, n) for k in found[slot]]
+    plain = [t for t in row if t not in slots.STOPWORDS and t not in known and (t.isascii() or not any(not p.isascii() and p in t for p in known))]
+    parts += [(f"token:{t}", 0.18, 2) for t in plain[:8]] + [(f"bigram:{a}_{b}", 0.12, 2) for a, b in zip(row, row[1:]) if not {a, b} & set(slots.STOPWORDS)] + [(f"full:{' '.join(row)}", 0.1, 2)]
+    state, values = seed ^ fnv(f"seed:{about}"), []
+    for _ in range(count):
+        state = xorshift(state)
+        values.append(((state & 0xFFFF) / 32767.5 - 1) * (0.22 if version >= 2 else 0.35))
+    for name, weight, rounds in parts:
+        state = fnv(name)
+        for _ in range(rounds):
+            state = xorshift(state)
+            at = state % count
+            state = xorshift(state)
+            values[at] += weight if state & 1 else -weight
+    return np.clip(values, -1, 1)
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_latents_equal_a_loop(spark, version):
+    prompts = ["red cat sitting close-up", "astronaut riding a horse in the snow", "猫の写真", "赤い車 front view", "strange unnamed gadget of nine curious parts and more beyond that", "watercolor of a kitten with butterflies"]
+    rows = slots.compositional_latents(spark.createDataFrame([(p,) for p in prompts], "prompt string"), slots.alias_table(spark), 7, 48, version).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.prompt, {})[r["index"]] = r.value
+    for p in prompts:
+        assert np.allclose([got[p][i] for i in range(48)], latent(p, 7, 48, version), atol=1e-9), p
