@@ -23,6 +23,11 @@ def union_roots(roots: Sequence[tuple[DataFrame, int, int]], key: str, pos: str)
     return out
 
 
+def set_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of one table that another lacks."""
+    return a.select(key).distinct().join(b.select(key), key, "left_anti")
+
+
 def hashed(seed: int, row: str) -> Column:
     """What rows are ordered by to be shuffled: the same at every run."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string")))

@@ -92,6 +92,35 @@ def grid(presets: DataFrame, order: str, seeds: Sequence[int], scales: Sequence[
     return global_number(each, ["_g", order, "_s"], "_n").withColumn("idx", F.col("_n") - 1).drop("_g", "_s", "_n")
 
 
+def app_plan(keys: DataFrame, variants: int, seeds: int) -> DataFrame:
+    """Each key with each variant v and seed s, both counted from 0."""
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return keys.distinct().withColumn("v", numbers(variants)).withColumn("s", numbers(seeds))
+
+
+def variant_count(presets: DataFrame, products: Sequence[Sequence[str]], most: int) -> DataFrame:
+    """One row: how many variants all presets have, each product of lists giving ``most`` at most."""
+    n = F.lit(0).cast("long")
+    for lists in products:
+        size = F.lit(1).cast("long")
+        for c in lists:
+            size = size * F.size(c)
+        n = n + F.least(F.lit(most).cast("long"), size)
+    return presets.agg(F.sum(n).alias("variants"))
+
+
+def named_values(text: Column, names: Sequence[str], fillers: Sequence[str], most: int) -> Column:
+    """The names that a text holds, in their order, filled up with others to ``most``, each once."""
+    found = F.filter(F.array(*map(F.lit, names)), lambda c: F.contains(text, c))
+    return F.slice(F.array_distinct(F.concat(found, F.array(*map(F.lit, fillers)))), 1, most)
+
+
+def probe_grid(probes: DataFrame, usable: Column, sizes: Sequence[int], steps: Sequence[int], multiple: int = 8) -> DataFrame:
+    """Each probe with each size and number of steps; valid if it is usable and its size a multiple, and its output's size."""
+    each = probes.withColumn("_usable", usable).withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("steps", F.explode(F.array(*map(F.lit, steps))))
+    return each.withColumns({"valid": (F.col("size") % multiple == 0) & F.col("_usable"), "output": F.col("size") * multiple}).drop("_usable")
+
+
 def pairs(text: Column) -> Column:
     """key:seed items of a comma list, split at the last colon."""
     return F.transform(F.split(text, ","), lambda x: F.struct(F.regexp_extract(x, "^(.*):[^:]*$", 1).alias("key"), F.regexp_extract(x, ":([^:]*)$", 1).try_cast("long").alias("seed")))

@@ -113,3 +113,14 @@ def rolling_mean(df: DataFrame, keys: Sequence[str], order: Order, value: str, w
     dealt = number_in_key(df, keys, order, "_n").withColumn("_x", F.explode(F.array_compact(F.array(own, again)))).withColumn("_c", F.col("_x.c"))
     last = Window.partitionBy(*keys, "_c").orderBy("_n").rowsBetween(1 - width, 0)
     return dealt.withColumn(name, F.avg(value).over(last)).where(~F.col("_x.before")).drop("_n", "_x", "_c")
+
+
+def contact_sheet(df: DataFrame, key: str, order: Sequence[str], n: int) -> DataFrame:
+    """``n`` rows of each key, evenly picked, with their place on a sheet: sheet_row by key, sheet_col by order, from 0.
+
+    What is picked is few rows a key, so the windows hold few.
+    """
+    picked = even_pick(df, [key], order, n)
+    rows = picked.select(key).distinct().withColumn("sheet_row", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+    column = (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long")
+    return picked.withColumn("sheet_col", column).join(rows, key)

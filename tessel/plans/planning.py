@@ -57,8 +57,7 @@ def g07_seed_product(spark, sf_dir):
 
 @query("SELECT p_brand, v::INTEGER AS v, s::INTEGER AS s FROM (SELECT DISTINCT p_brand FROM part), range(8) a(v), range(32) b(s)")
 def g08_app_plan(spark, sf_dir):
-    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
-    return brands.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(31))))
+    return planning.app_plan(table(spark, sf_dir, "part").select("p_brand"), 8, 32)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'O')")
@@ -89,8 +88,7 @@ def g12_focus_keys(spark, sf_dir):
 
 @query(f"WITH {LISTS} SELECT sum(least(7, len(colors) * len(styles)) + least(7, len(colors) * len(views)))::BIGINT AS variants FROM p")
 def g13_variant_count(spark, sf_dir):
-    n = lambda a, b: F.least(F.lit(7), F.size(a) * F.size(b))
-    return lists(spark, sf_dir).agg(F.sum(n("colors", "styles") + n("colors", "views")).alias("variants"))
+    return planning.variant_count(lists(spark, sf_dir), [["colors", "styles"], ["colors", "views"]], 7)
 
 
 @query("SELECT p_partkey, scale, seed, row_number() OVER (ORDER BY scale, p_partkey, seed) - 1 AS idx FROM part, (VALUES (4.5::DOUBLE), (6.0)) g(scale), (VALUES (1::BIGINT), (2)) s(seed)")
@@ -101,8 +99,8 @@ def g14_sweep_grid(spark, sf_dir):
 
 @query("SELECT p_partkey, array_to_string(list_concat(list_filter(['red', 'green', 'blue', 'small'], lambda c: contains(p_name, c)), list_filter(['red', 'white', 'black', 'gray'], lambda c: NOT (c = 'red' AND contains(p_name, 'red'))))[1:4], '|') AS colors FROM part")
 def g15_color_extraction(spark, sf_dir):
-    found = F.filter(F.array(*map(F.lit, ["red", "green", "blue", "small"])), lambda c: F.contains(F.col("p_name"), c))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.slice(F.array_distinct(F.concat(found, F.array(*map(F.lit, ["red", "white", "black", "gray"])))), 1, 4), "|").alias("colors"))
+    colors = planning.named_values(F.col("p_name"), ["red", "green", "blue", "small"], ["red", "white", "black", "gray"], 4)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(colors, "|").alias("colors"))
 
 
 @query("""SELECT p_partkey, coalesce(c[(('0x' || substr(md5('7:' || p_partkey || ':color'), 1, 8))::BIGINT % (len(c) + 4) + 1)], '') AS color FROM (SELECT p_partkey, string_split(p_name, ' ') AS c FROM part)""")
@@ -113,8 +111,7 @@ def g16_random_slots(spark, sf_dir):
 
 @query("""SELECT p_partkey, size, steps, size % 8 = 0 AND p_size > 0 AS valid, size * 8 AS output FROM part, (VALUES (32), (36), (64)) a(size), (VALUES (1), (4)) b(steps)""")
 def g17_probe_grid(spark, sf_dir):
-    each = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.array(*map(F.lit, [32, 36, 64]))).alias("size")).withColumn("steps", F.explode(F.array(F.lit(1), F.lit(4))))
-    return each.select("p_partkey", "size", "steps", ((F.col("size") % 8 == 0) & (F.col("p_size") > 0)).alias("valid"), (F.col("size") * 8).alias("output"))
+    return planning.probe_grid(table(spark, sf_dir, "part").select("p_partkey", "p_size"), F.col("p_size") > 0, [32, 36, 64], [1, 4]).drop("p_size")
 
 
 FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(1, strlen(x) + 1), lambda i: ('0x' || substr(hex(x), (2 * i - 1)::INTEGER, 2))::INTEGER::UHUGEINT)), lambda s, b: (xor(s, b) * 1099511628211) % 18446744073709551616)"
@@ -221,4 +218,5 @@ def m05_feature_table(spark, sf_dir):
 @query("SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
 def m06_set_difference(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
-    return line.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("key")).distinct().join(line.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("key")), "key", "left_anti")
+    side = lambda flag: line.where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("key"))
+    return mixing.set_difference(side("A"), side("R"), "key")

@@ -112,7 +112,7 @@ def p07_key_difference(spark, sf_dir):
 @query(HREF)
 def p08_ui_keys(spark, sf_dir):
     """Keys that links in the pages name."""
-    return table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), F.lit(1))).alias("key")).distinct()
+    return S.linked_keys(table(spark, sf_dir, "pages"), "html")
 
 
 @query("""WITH v AS (SELECT DISTINCT p_brand AS key, unnest(string_split(p_name, ' ')) AS alias, p_partkey % 2 AS side FROM part WHERE p_size > 5 OR p_partkey % 2 = 0),

@@ -100,14 +100,8 @@ def w16_seed_renormalise(spark, sf_dir):
 p AS (SELECT * FROM r WHERE size <= 8 OR list_contains(list_transform(range(8), lambda i: round_even(i * (size - 1) / 7.0::DOUBLE, 0)::BIGINT), n))
 SELECT key, o_orderkey, dense_rank() OVER (ORDER BY key) - 1 AS sheet_row, row_number() OVER (PARTITION BY key ORDER BY o_orderkey) - 1 AS sheet_col FROM p""")
 def w17_contact_sheet_plan(spark, sf_dir):
-    """Eight rows a key, so the windows hold few rows."""
-    from pyspark.sql.window import Window
-
-    picked = selection.even_pick(orders(spark, sf_dir).where("o_orderstatus = 'O'").select("key", "o_orderkey"), ["key"], ["o_orderkey"], 8)
-    keys = picked.select("key").distinct()
-    row = keys.withColumn("sheet_row", F.row_number().over(Window.orderBy("key")) - 1)
-    column = F.row_number().over(Window.partitionBy("key").orderBy("o_orderkey")) - 1
-    return picked.withColumn("sheet_col", column).join(row, "key").select("key", "o_orderkey", F.col("sheet_row").cast("long").alias("sheet_row"), F.col("sheet_col").cast("long").alias("sheet_col"))
+    some = orders(spark, sf_dir).where("o_orderstatus = 'O'").select("key", "o_orderkey")
+    return selection.contact_sheet(some, "key", ["o_orderkey"], 8).select("key", "o_orderkey", "sheet_row", "sheet_col")
 
 
 @query("SELECT word, n FROM (SELECT word, count(*) AS n, min(p_partkey) AS pos FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY word) ORDER BY n DESC, pos, word LIMIT 40")
