@@ -26,8 +26,8 @@ LEAST_PROBES, TARGET = 32, 0.95
 DEGREE = 24
 #: Centroids up to which their graph is made on the driver; that of more is made by tasks.
 FEW_POINTS = 4096
-#: Queries whose lists are chosen together.
-ASKED_TOGETHER = 64
+#: Queries whose lists are chosen together, and vectors to a task of that.
+ASKED_TOGETHER, TO_A_TASK = 256, 5000
 #: Neighbouring lists, numbered one after the other, that are read together.
 TOGETHER = 8
 #: Vectors, and queries, of such lists that meet in one task.
@@ -87,6 +87,13 @@ class Graph(NamedTuple):
         return np.where(np.isfinite(far), ids, -1), far
 
 
+    def every(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all centroids and their distances, nearest first: for rows that need a large part of them."""
+        far = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + self.lengths - 2 * x @ self.points.T, 0))
+        ids = np.argsort(far, axis=1, kind="stable")
+        return ids, np.take_along_axis(far, ids, 1)
+
+
 def balanced_centroids(x: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray]:
     """Means and spreads of ``lists`` (a power of two) groups of equal size: halves of halves, split across the line of
     two means. Groups of few rows have a spread drawn towards that of all."""
@@ -151,13 +158,15 @@ def searched(g: Graph, x: np.ndarray, floor: np.ndarray, target: float) -> tuple
 
     The ratio is the query's own: where lists within it hold ``target`` of all vectors whose product is expected to reach
     the query's floor. A list's products are taken to spread normally around its centroid's; lists that the graph has not
-    reached count as much as the farthest that it has, and the search is widened as long as these matter.
+    reached count as much as the farthest that it has, and the search is widened as long as these matter. One that would
+    reach a quarter of the lists looks at all of them instead.
     """
     rows, lists = [], []
     left, width, c = np.arange(len(x)), min(2 * LEAST_PROBES, len(g.points)), len(g.points)
     lengths = (x * x).sum(axis=1)
     while len(left):
-        ids, far = g.nearest(x[left], width)
+        ids, far = g.nearest(x[left], width) if 4 * width < c else g.every(x[left])
+        width = ids.shape[1]
         there = ids >= 0
         product = (lengths[left, None] + g.lengths[ids] - far * far) / 2
         away = (floor[left, None] - product) / np.maximum(np.sqrt(lengths[left])[:, None] * g.spread[ids], 1e-12)
@@ -278,10 +287,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, target: float = TA
 
         return each
 
+    tasks = max(1, n // TO_A_TASK)
     kind = f"id long, v {unique.schema['v'].dataType.simpleString()}, list int, floor double"
     together = lambda df: df.withColumn("list", F.floor(F.col("list") / TOGETHER).cast("int")).dropDuplicates(["id", "list"])
-    posted = scratch(unique.select(F.col("rep").alias("id"), "v").repartition("id").mapInArrow(placed(False), kind).transform(together), "ann-posted")
-    probed = scratch(asked.select(F.col("vec_id").alias("id"), "v").repartition("id").mapInArrow(placed(True), kind).transform(together), "ann-probed")
+    posted = scratch(unique.select(F.col("rep").alias("id"), "v").repartition(tasks, "id").mapInArrow(placed(False), kind).transform(together), "ann-posted")
+    probed = scratch(asked.select(F.col("vec_id").alias("id"), "v").repartition(tasks, "id").mapInArrow(placed(True), kind).transform(together), "ann-probed")
     blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     both = blocks(posted, "vector_blocks").join(blocks(probed, "query_blocks"), "list")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
