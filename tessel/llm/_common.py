@@ -57,11 +57,6 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Columns that tell rows apart by what they hold: equal rows get equal results, whatever their order."""
-    return [F.col(doc_id).alias("_id"), F.xxhash64(text_or_empty(text)).alias("_hash")]
-
-
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """``df.mapInArrow`` of a function on single batches."""
 
