@@ -57,10 +57,12 @@ def first_present(*columns: Column | str) -> Column:
 
 def clean_caption(text: Column) -> Column:
     """Strips tags, links, image suffixes and all but letters, digits, ``'``, ``-`` and single spaces; lower case; null becomes ''."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
-    text = F.regexp_replace(text, r"https?://\S+", " ")
+    raw = F.coalesce(text, F.lit(""))
+    # most captions hold no tag and no link, and are spared the search
+    text = F.when(raw.contains("<"), F.regexp_replace(raw, "<[^>]+>", " ")).otherwise(raw)
+    text = F.when(raw.contains("http"), F.regexp_replace(text, r"https?://\S+", " ")).otherwise(text)
     text = F.translate(text, "_+|", "   ")
-    text = F.regexp_replace(text, r"(?i)\.(jpg|jpeg|png|webp|gif|bmp|tiff)\b", " ")
+    text = F.when(raw.contains("."), F.regexp_replace(text, r"(?i)\.(jpg|jpeg|png|webp|gif|bmp|tiff)\b", " ")).otherwise(text)
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9' -]+", " "), r"\s+", " ")))
 
 
