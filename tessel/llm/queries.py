@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import ann, bpe, classifier, jaccard, licenses, lm, packing, quality, secrets, urls
+from tessel.llm import ann, bpe, classifier, jaccard, licenses, lm, packing, quality, secrets, toxicity, urls
 from tessel.llm._common import remainder
 
 
@@ -76,4 +76,10 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_lm, op3_bpe, op4_ann, op5_secrets, op6_packing, op7_urls, op8_quality, op9_jaccard, op10_classifier)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 4) == 2
+    scored = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_lm, op3_bpe, op4_ann, op5_secrets, op6_packing, op7_urls, op8_quality, op9_jaccard, op10_classifier, op13_toxicity)}
