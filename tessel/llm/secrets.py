@@ -28,14 +28,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+#: White space between the lines of a key, also as the escapes of a quoted string.
+_GAP = r"(?:[\x09-\x0D\x20]|\\[nrt])*+"
 #: A private key with its headers and body, through the END line or, where that is missing, to the end of the base64 run.
+#: Groups are repeated possessively: Java then loops over lines instead of calling itself for each.
 PEM = (
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[\s\\nr]{0,8}[A-Za-z0-9-]{1,40}:[^\n\\]{0,200}){0,8}"
-    r"(?:[^-]*+-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:[\s\\]{0,8}[A-Za-z0-9+/]{16,}={0,2}){0,1000}(?:[\s\\]{0,8}[A-Za-z0-9+/]{1,15}={1,2})?)"
+    rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_GAP}[A-Za-z0-9-]+:[^\n\\]*+)*+"
+    rf"(?:[^-]*+-----END [A-Z ]*PRIVATE KEY-----|(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:{_GAP}[A-Za-z0-9+/]{{1,15}}={{1,2}})?)"
 )
 #: Further kinds that this operator finds by itself.
 MORE = (
-    Rule("pem", PEM, version=2),
+    Rule("pem", PEM, version=3),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
