@@ -170,8 +170,9 @@ def local_nodes(table: pa.Table, splitters: list[bytes]) -> pa.Table:
             m = len(up)
             children = np.bincount(above[~skeleton], minlength=m)
             leaves, saved = np.zeros(m, np.int64), np.zeros(m, np.int64)
-            np.add.at(leaves, above, n_leaves)
-            np.add.at(saved, above, total)
+            local = ~skeleton  # what hangs below skeleton nodes goes up when these are reduced
+            np.add.at(leaves, above[local], n_leaves[local])
+            np.add.at(saved, above[local], total[local])
         else:
             parent, pkeys = pa.nulls(1, pa.int64()), [None]
         columns = [pa.array(least), pa.array(np.full(len(rows), depth, np.int64)), parent, pa.array(convs), pa.array(n_children), pa.array(n_leaves), pa.array(total), pa.array(sha), pa.array(skeleton), pa.array(step), pa.array(keys, pa.binary()), pa.array(pkeys, pa.binary())]

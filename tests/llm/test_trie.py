@@ -51,7 +51,7 @@ def random_rows(seed, convs=300, hot=120):
     rows = [(c, t, rng.choice(["user", "bot", None]), rng.choice(["", "a", "é🎉", None, "long " * 9])) for c in range(convs) for t in range(rng.randint(1, 9))]
     rows += [(1000 * c, t, "user", "same") for c in range(10, 10 + hot) for t in range(7)]
     rows += [(7, None, None, None), (7, 3, "x", "tie"), (7, 3, "x", "eit"), (7, 3, "x", "eit"), (None, 1, "u", "no id"), (55, 400, "u", "y" * 200_000)]
-    return rows + [(777_700, t, "u", "deep") for t in range(3000)] + [(777_800, t, "u", "deep" if t < 2500 else "end") for t in range(2600)]
+    return rows + [(777_700, t, "u", "deep") for t in range(90)] + [(777_800, t, "u", "deep" if t < 70 else "end") for t in range(80)]
 
 
 @pytest.mark.parametrize("shard_turns, depth_bytes", [(1_000_000, 1 << 26), (200, 1 << 26), (50, 1 << 14)])
