@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import ann, bpe, classifier, jaccard, licenses, lm, packing, quality, secrets, toxicity, trie, urls
+from tessel.llm import alignment, ann, bpe, classifier, jaccard, licenses, lm, packing, quality, secrets, toxicity, trie, urls
 from tessel.llm._common import remainder
 
 
@@ -76,6 +76,10 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.col("conv_id") - F.col("conv_id") % 100
     keep = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
@@ -88,4 +92,4 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_lm, op3_bpe, op4_ann, op5_secrets, op6_packing, op7_urls, op8_quality, op9_jaccard, op10_classifier, op12_trie, op13_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_lm, op3_bpe, op4_ann, op5_secrets, op6_packing, op7_urls, op8_quality, op9_jaccard, op10_classifier, op11_alignment, op12_trie, op13_toxicity)}

@@ -121,8 +121,10 @@ def test_bodies_of_private_keys_go(spark):
     body = "\n".join("MIIEow" + format(i, "058x") for i in range(900)) + "\nQk1=\n"
     headers = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,3F17F5316E2BAC89\n\n"
     rows = [(1, f"a {begin}\n{body}{end} b"), (2, f"a {begin}{headers}{body}{end} b"), (3, f"a {begin}\n{body}and words, b"), (4, f"a {begin} and words"), (5, f"a {begin}\\nMIIEow{'ab' * 30}\\nQk1=\\n{end} b")]
+    deep, lines = "\n" + " " * 12, [format(i, "064x") for i in range(20_000)]
+    rows += [(6, f"a {begin}\n" + "\n".join(lines) + "\nand words, b"), (7, f"a {begin}" + deep + deep.join(lines[:99]) + "\n and words, b"), (8, f"a {begin}" + "".join(f"\nX-{i}: " + "v" * 300 for i in range(20)) + f"\n\n{body}{end} b")]
     texts = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert texts == {1: "a [SECRET] b", 2: "a [SECRET] b", 3: "a [SECRET]\nand words, b", 4: "a [SECRET] and words", 5: "a [SECRET] b"}
+    assert texts == {1: "a [SECRET] b", 2: "a [SECRET] b", 3: "a [SECRET]\nand words, b", 4: "a [SECRET] and words", 5: "a [SECRET] b", 6: "a [SECRET]\nand words, b", 7: "a [SECRET]\n and words, b", 8: "a [SECRET] b"}
 
 
 @pytest.mark.parametrize("real", [True, False])
