@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     few = few.withColumn("_sum", F.sum("_n").over(Window.orderBy("_order", "_i", "_y", F.xxhash64("_at")).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, schema) if (batches := list(batches)) else schema.empty_table()
+        table = pa.Table.from_batches(batches) if (batches := list(batches)) else schema.empty_table()
         place = np.lexsort((table["_at_h"].to_numpy(), table["_y"].to_numpy(), table["_order"].to_numpy()))
         blobs, y = table["_at"].to_pylist(), table["_y"].to_numpy()
         w = fit([(np.frombuffer(blobs[k], "<u4").astype(np.int64), float(y[k])) for k in place], bits)
