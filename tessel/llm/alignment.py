@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -17,8 +18,9 @@ from pyspark.sql.window import Window
 from tessel.llm._common import scratch, small_batches
 from tessel.llm.packing import byte_bpe
 
-#: Words that a task remembers, bytes of tokens worked on at a time, and links that a task counts before it sends them on.
-WORDS, CHUNK, COUNTS = 500_000, 1 << 19, 1 << 21
+#: Words and their characters that a task remembers, bytes of tokens worked on at a time, and links that a task counts
+#: before it sends them on.
+WORDS, LETTERS, CHUNK, COUNTS = 500_000, 1 << 23, 1 << 19, 1 << 21
 #: Pairs whose counts are broadcast make up 1/FREQUENT of all counts or more, so there are at most that many (18 MB).
 FREQUENT = 1 << 20
 #: Bits of an id in a pair, and of a text's place in its chunk beside one.
@@ -86,6 +88,57 @@ def tokens(text: str | None, a: Bytes, b: Pieces) -> tuple[list[int], list[int]]
     return ids_a, ids_b
 
 
+def packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Words:
+    """Both tokenizers' ids of texts, a space and a word at a time; each word's are remembered as bytes.
+
+    A space before a character other than white space starts a token of either tokenizer, so a text in which all spaces
+    are such is the row of its words. Other texts, and those with a word that is not given back byte by byte, are encoded
+    whole.
+    """
+
+    other = re.compile(r" (?:\s|\Z)")
+
+    def __init__(self, a: Bytes, b: Pieces):
+        self.a, self.b, self.held = a, b, 0
+        self.of_a: dict[str, bytes] = {}
+        self.of_b: dict[str, bytes] = {}
+        self.inexact: set[str] = set()
+
+    def _learn(self, words: list[str]) -> None:
+        for w, ids_b in zip(words, self.b.model.encode(words, num_threads=1)):
+            ids_a, want = self.a.encode(w), b" " + w.encode()
+            self.held += len(w)
+            if b"".join([self.a.bytes[i] for i in ids_a]) == want and b"".join([self.b.bytes[i] for i in ids_b]) == want:
+                self.of_a[w], self.of_b[w] = packed(ids_a), packed(ids_b)
+            else:
+                self.inexact.add(w)
+
+    def encode(self, text: str | None) -> tuple[bytes, bytes]:
+        """Ids as little-endian 32-bit integers; see ``tokens``."""
+        if text and self.b.apart and "▁" not in text and not text[0].isspace() and not self.other.search(text):
+            words = text.split(" ")
+            new = set(words).difference(self.of_a) - self.inexact
+            if new:
+                if len(self.of_a) + len(self.inexact) > WORDS or self.held > LETTERS:
+                    self.of_a.clear(), self.of_b.clear(), self.inexact.clear()
+                    new, self.held = set(words), 0
+                self._learn(list(new))
+            if self.inexact.isdisjoint(words):
+                return b"".join(map(self.of_a.__getitem__, words)), b"".join(map(self.of_b.__getitem__, words))
+        ids_a, ids_b = tokens(text, self.a, self.b)
+        return packed(ids_a), packed(ids_b)
+
+
+@cache
+def words_of(path_a: str, path_b: str) -> Words:
+    return Words(*both(path_a, path_b)[:2])
+
+
 def divide(ends_a: np.ndarray, ends_b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Places in ``ends_a`` of the ends that both have, within intervals whose own last ends are shared.
 
@@ -166,11 +219,11 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", t
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, _, _ = both(path_a, path_b)
+        words = words_of(path_a, path_b)
         for batch in batches:
             rows, held, first = [], 0, 0
             for i, value in enumerate(batch.column(2)):
-                rows.append([np.array(ids, "<u4").tobytes() for ids in tokens(value.as_py(), a, b)])
+                rows.append(words.encode(value.as_py()))
                 held += len(rows[-1][0]) + len(rows[-1][1])
                 if held > CHUNK or i + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(rows)) for k in (0, 1)), *(pa.array(c, pa.binary()) for c in zip(*rows))], names=["_row", "doc_id", "a", "b"])

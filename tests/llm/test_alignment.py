@@ -74,3 +74,25 @@ def test_divide_finds_all_shared_ends():
         n = rng.randint(1, 60)
         x, y = (np.array(sorted({*rng.sample(range(n), rng.randint(0, n)), n})) for _ in range(2))
         assert A.divide(x, y, np.array([0]), np.array([len(x) - 1])).tolist() == np.flatnonzero(np.isin(x, y)).tolist()
+
+
+def test_words_equal_whole_texts(monkeypatch):
+    """Spaces of all sorts beside all sorts of characters; the words remembered are few."""
+    a, b, *_ = A.both(A_PATH, B_PATH)
+    random.seed(11)
+    parts = [" ", " ", " ", "\n", "\t", "\xa0", "\u3000", "\x1c", "\x85", "the", "Cat", "'s", "12", ",", "...", "é", "ß", "ﬁ", "一二", "\u0301", "½", "<|endoftext|>", "</s>", "x" * 40, "🎉", "\u200b", "▁"]
+    texts = ["".join(random.choices(parts, k=random.randint(1, 12))) for _ in range(4000)]
+    texts += [" ".join(random.choices(parts[9:-1], k=8)) for _ in range(1000)] + ["a\n \nb", "a\n b", "a \nb", "a\n  b", "\n a", "a\n"]
+    for few, letters in ((500_000, 1 << 23), (3, 1 << 23), (500_000, 5)):
+        monkeypatch.setattr(A, "WORDS", few)
+        monkeypatch.setattr(A, "LETTERS", letters)
+        words, by_words = A.Words(a, b), 0
+        library = Tokenizer.from_file(A_PATH)
+        library.encode_special_tokens = True
+        model = sentencepiece.SentencePieceProcessor(model_file=B_PATH)
+        for text in texts if few > 3 else texts[:500]:
+            got = [np.frombuffer(x, "<u4").tolist() for x in words.encode(text)]
+            assert got == list(map(list, A.tokens(text, a, b))), text
+            assert got in ([[], []], [library.encode(" " + text, add_special_tokens=False).ids, model.encode(text)]), text
+            by_words += text[0] != " " and all(w in words.of_a for w in text.split(" "))
+        assert few == 3 or letters == 5 or by_words > 1000
