@@ -297,7 +297,7 @@ def digests(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", t
     Null and empty texts, and those that a tokenizer does not give back byte by byte, have no tokens: zeros and ''. A text
     of any length is aligned whole. Rows without doc_id and repeated rows count as documents of their own; other columns,
     of any name, play no part; an empty table gives none. Counts of pairs of a share of 1/FREQUENT or more are broadcast,
-    the others joined: no such pair is more than that share of the rows.
+    the others are written beside the rows and joined: no such pair is more than that share.
     """
     spark = docs.sparkSession
     rows = scratch(encoded(docs, path_a, path_b, doc_id, text), "alignment-ids")
@@ -324,19 +324,15 @@ def digests(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", t
                 np.add.at(n_best, text_[seen], n[seen] * shared.value[2][at[seen]])
                 np.add.at(total_, text_[seen], n[seen] * shared.value[1][at[seen]])
                 sha = [hashlib.sha256(s).hexdigest() if s else "" for s in rendered(x, ids_a, n_a, ids_b, n_b, size)]
+                rare = ~seen
+                cut = pa.array(np.searchsorted(text_[rare], np.arange(k + 1)), pa.int32())
+                rest = [pa.ListArray.from_arrays(cut, pa.array(v[rare])) for v in (pair, n)]
                 columns = [n_a, n_b, np.bincount(x.group_text, minlength=k), np.bincount(x.link_text, minlength=k), n_best, total_]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, k) for c in (0, 1)), *map(pa.array, columns), pa.array(sha)], names=["_row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, k) for c in (0, 1)), *map(pa.array, columns), pa.array(sha), *rest], names=["_row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "_pair", "_n"])
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, len_a, len_b = both(path_a, path_b)
-        for batch in batches:
-            for first, last, *_, x in _chunks(batch, len_a, len_b):
-                text_, pair, n = _pairs(x, last - first)
-                rare = ~places(pair)[1]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first).take(pa.array(text_[rare])), pa.array(pair[rare]), pa.array(n[rare])], names=["_row", "pair", "n"])
-
-    whole = rows.mapInArrow(run, "_row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
-    joined = rows.mapInArrow(rest, "_row long, pair long, n long").join(counts.where(~frequent), "pair")
+    whole = rows.mapInArrow(run, "_row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, _pair array<long>, _n array<long>")
+    whole = scratch(whole, "alignment-rows")
+    joined = whole.select("_row", F.inline(F.arrays_zip(F.col("_pair").alias("pair"), F.col("_n").alias("n")))).join(counts.where(~frequent), "pair")
     more = joined.groupBy("_row").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("_best"), F.sum(F.col("n") * F.col("count")).alias("_sum"))
     add = lambda c, x: (F.col(c) + F.coalesce(x, F.lit(0))).alias(c)
     return whole.join(more, "_row", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", add("n_best", "_best"), add("count_sum", "_sum"), "groups_sha256")
