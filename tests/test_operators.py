@@ -1,5 +1,6 @@
 """Order-dependent selection, hashes and images against plain loops and closed forms."""
 
+import math
 import random
 
 import numpy as np
@@ -230,9 +231,9 @@ def test_blurs_keep_what_they_should(spark):
     noisy[2, 2] = 70
     df = spark.createDataFrame([(1, 24, 24, noisy.tobytes())], "id long, width int, height int, pixels binary")
     image = lambda x: np.frombuffer(x.first().pixels, np.uint8).reshape(24, 24, 3).astype(int)
-    flat, smooth = image(images.flatten_background(df)), image(images.denoise(df))
+    flat, smooth = image(images.flatten_background(df, sigma=0.5)), image(images.denoise(df))
     assert (flat[:4, :4] == 60).all() and (np.abs(flat[8:16, 8:16] - a[8:16, 8:16]) <= 1).all()  # noise goes, the object stays
-    assert abs(smooth[2, 2, 0] - 60) < 4 and (smooth[10:14, 10:14] == a[10:14, 10:14]).all()
+    assert abs(smooth[2, 2, 0] - 60) < 6 and (smooth[10:14, 10:14] == a[10:14, 10:14]).all()
 
 
 def test_samples_keep_to_their_quotas(spark):
@@ -302,3 +303,92 @@ def test_latents_equal_a_loop(spark, version):
         got.setdefault(r.prompt, {})[r["index"]] = r.value
     for p in prompts:
         assert np.allclose([got[p][i] for i in range(48)], latent(p, 7, 48, version), atol=1e-9), p
+
+
+def plain_ground(a):
+    """Background of one image, pixel by pixel."""
+    h, w = len(a), len(a[0])
+    p, m = max(2, min(12, min(h, w) // 8)), max(2, min(8, min(h, w) // 16))
+    mean = lambda rows: [sum(c) / len(rows) for c in zip(*rows)]
+    apart = lambda x, y: math.sqrt(sum((i - j) ** 2 for i, j in zip(x, y)) / 3)
+    corners = []
+    for y0 in (0, h - p):
+        for x0 in (0, w - p):
+            rows = [a[y0 + i][x0 + j] for i in range(p) for j in range(p)]
+            mid = mean(rows)
+            corners.append((mid, sum(apart(r, mid) ** 2 for r in rows) / len(rows)))
+    pairs = [(apart(s[0], t[0]) + 0.15 * math.sqrt(s[1] + t[1]), i, j) for i, s in enumerate(corners) for j, t in enumerate(corners) if i < j]
+    _, i, j = min(pairs)
+    first = mean([corners[i][0], corners[j][0]])
+    edge = [a[y][x] for y in range(h) for x in range(w) if y < m or x < m or y >= h - m or x >= w - m]
+    far = [apart(r, first) for r in edge]
+    mid = sum(far) / len(far)
+    most = max(14, mid + 0.85 * math.sqrt(sum((d - mid) ** 2 for d in far) / len(far)))
+    kept = [r for r, d in zip(edge, far) if d <= most]
+    return first if len(kept) < max(8, 0.12 * len(edge)) else mean(kept)
+
+
+def plain_denoised(a):
+    """One image, pixel by pixel, unrounded."""
+    h, w = len(a), len(a[0])
+    if min(h, w) < 3:
+        return a
+    gray = lambda r: 0.299 * r[0] + 0.587 * r[1] + 0.114 * r[2]
+    at = lambda v, y, x: v[min(h - 1, max(0, y))][min(w - 1, max(0, x))]
+    around = lambda v, y, x, r: [at(v, y + i, x + j) for i in range(-r, r + 1) for j in range(-r, r + 1)]
+    mean = lambda v: sum(v) / len(v)
+
+    def step(low, high, v):
+        t = max(0, min(1, (v - low) / (high - low)))
+        return t * t * (3 - 2 * t)
+
+    ground = plain_ground(a)
+    g = gray(ground)
+    luma = [[gray(r) for r in row] for row in a]
+    chroma = {k: [[r[k] - gray(r) for r in row] for row in a] for k in (0, 2)}
+    differs = [[step(18, 56, 0.68 * abs(luma[y][x] - g) + 0.62 * sum(abs(chroma[k][y][x] - (ground[k] - g)) for k in (0, 2)) / 2) for x in range(w)] for y in range(h)]
+    out = []
+    for y in range(h):
+        for x in range(w):
+            near = around(differs, y, x, 1)
+            beside = max(mean(near), 0.72 * max(near))
+            slope = sum(abs(luma[y][x] - at(luma, y + i, x + j)) for i, j in ((0, 1), (0, -1), (1, 0), (-1, 0)))
+            edge = min(1, slope / 128)
+            thing = min(1, max(differs[y][x], beside, step(34, 120, slope) * min(1, beside + 0.18)))
+            clean, calm = ((1 - thing) * (1 - 0.55 * edge)) ** 2, thing * (1 - edge)
+            light = luma[y][x] + (mean(around(luma, y, x, 1)) - luma[y][x]) * (0.04 * calm + 0.64 * clean)
+            light += (g - light) * 0.3 * clean
+            made = {}
+            for k in (0, 2):
+                c = chroma[k][y][x] + (mean(around(chroma[k], y, x, 2)) - chroma[k][y][x]) * (0.08 * calm + 0.84 * clean)
+                made[k] = light + c + (ground[k] - g - c) * 0.52 * clean
+            out.append((made[0], (light - 0.299 * made[0] - 0.114 * made[2]) / 0.587, made[2]))
+    return [out[y * w : y * w + w] for y in range(h)]
+
+
+def test_denoise_and_flatten_equal_loops(spark):
+    rng = np.random.default_rng(8)
+    shapes = [(8, 8), (8, 8), (3, 3), (2, 9), (1, 1), (5, 20), (40, 33)]
+    pictures = [rng.integers(0, 256, (*s, 3)).astype(np.uint8) for s in shapes] + [np.full((9, 9, 3), 77, np.uint8)]
+    for noise in (4, 30):  # an object on a noisy ground
+        a = np.full((24, 30, 3), (90, 120, 60)) + rng.integers(-noise, noise + 1, (24, 30, 3))
+        a[8:16, 9:20] = (220, 30, 40)
+        pictures.append(a.astype(np.uint8))
+    rows = [(i, a.shape[1], a.shape[0], a.tobytes()) for i, a in enumerate(pictures)] + [(90, 5, 5, b"x"), (91, None, 3, None), (92, 0, 0, b"")]
+    df = spark.createDataFrame(rows, "id long, width int, height int, pixels binary")
+    smooth, flat = ({r.id: r.pixels for r in f(df).collect()} for f in (images.denoise, images.flatten_background))
+    assert len(smooth) == len(flat) == len(rows) and all(x[i] is None for x in (smooth, flat) for i in (90, 91, 92))
+    for i, a in enumerate(pictures):
+        h, w = a.shape[:2]
+        want = np.clip(np.array(plain_denoised(a.astype(float).tolist())), 0, 255)
+        assert np.abs(np.frombuffer(smooth[i], np.uint8).reshape(h, w, 3) - want).max() <= 0.5 + 1e-6
+        m = max(2, int(min(h, w) * 0.12))
+        edge = [a[y, x] for s in range(4) for y in range(h) for x in range(w) if (y < m, y >= h - m, x < m, x >= w - m)[s]]
+        color = np.median(np.array(edge), axis=0)
+        mask = np.rint(255 * np.clip((np.sqrt(((a - color) ** 2).sum(axis=2)) - images.THRESHOLD) / images.THRESHOLD, 0, 1))
+        k = np.exp(-(np.arange(-8, 9) ** 2) / 8)
+        kernel = np.outer(k, k) / k.sum() ** 2
+        wide = np.pad(mask, 8, mode="edge")
+        blurred = np.array([[(wide[y : y + 17, x : x + 17] * kernel).sum() for x in range(w)] for y in range(h)])
+        want = (a * np.rint(blurred)[..., None] + np.rint(color) * (255 - np.rint(blurred)[..., None])) / 255
+        assert np.abs(np.frombuffer(flat[i], np.uint8).reshape(h, w, 3) - want).max() <= 1.5
