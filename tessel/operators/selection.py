@@ -118,9 +118,9 @@ def rolling_mean(df: DataFrame, keys: Sequence[str], order: Order, value: str, w
 def contact_sheet(df: DataFrame, key: str, order: Sequence[str], n: int) -> DataFrame:
     """``n`` rows of each key, evenly picked, with their place on a sheet: sheet_row by key, sheet_col by order, from 0.
 
-    What is picked is few rows a key, so the windows hold few.
+    What is picked is few rows a key, so the window of a key holds few; keys are numbered by ranges.
     """
     picked = even_pick(df, [key], order, n)
-    rows = picked.select(key).distinct().withColumn("sheet_row", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+    rows = global_number(picked.select(key).distinct(), [key], "_row").select(key, (F.col("_row") - 1).cast("long").alias("sheet_row"))
     column = (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long")
     return picked.withColumn("sheet_col", column).join(rows, key)
