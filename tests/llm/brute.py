@@ -108,7 +108,7 @@ def url(address):
         host = re.split(r"[/?#]", rest)[0]
         path = re.split(r"[?#]", rest[len(host) :])[0]
         host = host.translate(LOW)
-    rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+    rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
     fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return host, path, *(max(fits)[1:] if fits else (None, "allow"))
 

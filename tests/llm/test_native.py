@@ -193,3 +193,12 @@ def test_urls(spark, monkeypatch):
         same(queries.op7_urls(spark, "").collect(), pages.select("page_id", "url").collect(), brute.url)
     monkeypatch.setattr(queries, "table", lambda *_: docs.limit(0))
     assert queries.op7_urls(spark, "").count() == 0
+
+
+def test_url_rules_are_the_contract_s(spark, monkeypatch):
+    """Each rule's own verdict, and the longest of two where they differ."""
+    rules = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    want = {rule: verdict for verdict, rule in (x.split(" ") for x in rules.split(", "))}
+    pages = spark.createDataFrame(list(enumerate("http://www." + rule for rule in want)), "page_id long, url string")
+    monkeypatch.setattr(queries, "table", lambda *_: pages)
+    assert {r.rule: r.verdict for r in queries.op7_urls(spark, "").collect()} == want
