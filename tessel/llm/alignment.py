@@ -18,9 +18,11 @@ from pyspark.sql.window import Window
 from tessel.llm._common import scratch, small_batches
 from tessel.llm.packing import byte_bpe
 
-#: Words and their characters that a task remembers, bytes of tokens worked on at a time, and links that a task counts
-#: before it sends them on.
+#: Words and their characters that a task remembers, characters or bytes of tokens worked on at a time, and links that a
+#: task counts before it sends them on.
 WORDS, LETTERS, CHUNK, COUNTS = 500_000, 1 << 23, 1 << 19, 1 << 21
+#: New words that are encoded one by one.
+FEW_WORDS = 8
 #: Pairs whose counts are broadcast make up 1/FREQUENT of all counts or more, so there are at most that many (18 MB).
 FREQUENT = 1 << 20
 #: Bits of an id in a pair, and of a text's place in its chunk beside one.
@@ -53,6 +55,9 @@ class Pieces:
             self.seen.update(zip(new, self.model.encode([r[1:] for r in new], num_threads=1)))
         return [i for r in runs for i in self.seen[r]]
 
+    def together(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text), np.int64)
+
 
 class Bytes:
     """Byte-level BPE of space+text; strings of special tokens are plain text."""
@@ -70,6 +75,10 @@ class Bytes:
             return self.exact.encode(" " + text, add_special_tokens=False).ids
         return self.coder.fast.encode_ordinary(" " + text)
 
+    def together(self, text: str) -> np.ndarray:
+        """Of a text without characters on which the libraries may differ."""
+        return np.array(self.coder.fast.encode_ordinary(" " + text), np.int64)
+
 
 @cache
 def both(path_a: str, path_b: str) -> tuple[Bytes, Pieces, np.ndarray, np.ndarray]:
@@ -98,40 +107,78 @@ class Words:
 
     A space before a character other than white space starts a token of either tokenizer, so a text in which all spaces
     are such is the row of its words. Other texts, and those with a word that is not given back byte by byte, are encoded
-    whole.
+    whole. For the same reason new words are encoded as one text, many texts' together, and told apart by their spaces.
     """
 
     other = re.compile(r" (?:\s|\Z)")
 
     def __init__(self, a: Bytes, b: Pieces):
         self.a, self.b, self.held = a, b, 0
+        self.spaced = [np.array([x.startswith(b" ") for x in t.bytes]) for t in (a, b)]
         self.of_a: dict[str, bytes] = {}
         self.of_b: dict[str, bytes] = {}
         self.inexact: set[str] = set()
 
-    def _learn(self, words: list[str]) -> None:
+    def _each(self, words: list[str]) -> None:
         for w, ids_b in zip(words, self.b.model.encode(words, num_threads=1)):
             ids_a, want = self.a.encode(w), b" " + w.encode()
-            self.held += len(w)
             if b"".join([self.a.bytes[i] for i in ids_a]) == want and b"".join([self.b.bytes[i] for i in ids_b]) == want:
                 self.of_a[w], self.of_b[w] = packed(ids_a), packed(ids_b)
             else:
                 self.inexact.add(w)
 
+    def _together(self, words: list[str]) -> None:
+        """Halves ``words`` where some word is not given back; few are left to ``_each``."""
+        if len(words) < FEW_WORDS:
+            return self._each(words)
+        text = " ".join(words)
+        want, both_ = b" " + text.encode(), []
+        for tokenizer, spaced in zip((self.a, self.b), self.spaced):
+            ids = tokenizer.together(text)
+            starts = np.flatnonzero(spaced[ids])
+            # as many tokens begin with a space as there are spaces, so none has one elsewhere
+            if len(starts) != len(words) or b"".join(map(tokenizer.bytes.__getitem__, ids.tolist())) != want:
+                half = len(words) // 2
+                self._together(words[:half]), self._together(words[half:])
+                return
+            data, cut = ids.astype("<u4").tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            both_.append([data[i:j] for i, j in zip(cut, cut[1:])])
+        self.of_a.update(zip(words, both_[0]))
+        self.of_b.update(zip(words, both_[1]))
+
+    def _split(self, text: str | None) -> list[str]:
+        """The words of a text that is the row of its words, else none."""
+        return text.split(" ") if text and self.b.apart and "▁" not in text and not text[0].isspace() and not self.other.search(text) else []
+
+    def _learn(self, words: set[str]) -> None:
+        new = words.difference(self.of_a) - self.inexact
+        if new and (len(self.of_a) + len(self.inexact) > WORDS or self.held > LETTERS):
+            self.of_a.clear(), self.of_b.clear(), self.inexact.clear()
+            new, self.held = words, 0
+        self.held += sum(map(len, new))
+        rare = {w for w in new if not w.isascii() and self.a.coder.rare.search(w)}
+        self._each(list(rare))
+        self._together(list(new - rare))
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Ids of each text as little-endian 32-bit integers; see ``tokens``."""
+        rows = [self._split(text) for text in texts]
+        words = set().union(*rows)
+        self._learn(words)
+        inexact = words & self.inexact
+        # only these texts' words: far fewer, and so found faster
+        of_a, of_b = ({w: held[w] for w in words - inexact} for held in (self.of_a, self.of_b))
+        found = []
+        for text, row in zip(texts, rows):
+            if row and inexact.isdisjoint(row):
+                found.append((b"".join(map(of_a.__getitem__, row)), b"".join(map(of_b.__getitem__, row))))
+            else:
+                ids_a, ids_b = tokens(text, self.a, self.b)
+                found.append((packed(ids_a), packed(ids_b)))
+        return found
+
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids as little-endian 32-bit integers; see ``tokens``."""
-        if text and self.b.apart and "▁" not in text and not text[0].isspace() and not self.other.search(text):
-            words = text.split(" ")
-            new = set(words).difference(self.of_a) - self.inexact
-            if new:
-                if len(self.of_a) + len(self.inexact) > WORDS or self.held > LETTERS:
-                    self.of_a.clear(), self.of_b.clear(), self.inexact.clear()
-                    new, self.held = set(words), 0
-                self._learn(list(new))
-            if self.inexact.isdisjoint(words):
-                return b"".join(map(self.of_a.__getitem__, words)), b"".join(map(self.of_b.__getitem__, words))
-        ids_a, ids_b = tokens(text, self.a, self.b)
-        return packed(ids_a), packed(ids_b)
+        return self.encode_all([text])[0]
 
 
 @cache
@@ -190,11 +237,18 @@ def align(ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray
     return Aligned(text_a[cuts], cuts + 1, group_b + 1, text_a[at_a], ids_a[at_a], ids_b[at_b])
 
 
-def rendered(x: Aligned, ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray, size: int) -> list[bytes]:
-    """Each text's ``a1,a2|b1;a3|b2,b3``, where ids are below ``size``."""
+@cache
+def decimals(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of numbers below ``size``, and how many each has."""
     width = len(str(size))
     names = np.array([str(i).encode() for i in range(size)], dtype=f"S{width}").view(np.uint8).reshape(size, width)
-    digits = (names > 0).sum(axis=1)
+    return names, (names > 0).sum(axis=1)
+
+
+def rendered(x: Aligned, ids_a: np.ndarray, n_a: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray, size: int) -> list[bytes]:
+    """Each text's ``a1,a2|b1;a3|b2,b3``, where ids are below ``size``."""
+    names, digits = decimals(size)
+    width = names.shape[1]
     place_a = np.arange(len(ids_a))
     place_b = np.arange(len(ids_b))
     group_of_a = np.repeat(np.arange(len(x.group_a)), np.diff(x.group_a, prepend=0))
@@ -221,13 +275,14 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path_a, path_b)
         for batch in batches:
-            rows, held, first = [], 0, 0
-            for i, value in enumerate(batch.column(2)):
-                rows.append(words.encode(value.as_py()))
-                held += len(rows[-1][0]) + len(rows[-1][1])
-                if held > CHUNK or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(rows)) for k in (0, 1)), *(pa.array(c, pa.binary()) for c in zip(*rows))], names=["_row", "doc_id", "a", "b"])
-                    rows, held, first = [], 0, i + 1
+            texts, first = batch.column(2).to_pylist(), 0
+            while first < len(texts):
+                held, last = len(texts[first] or ""), first + 1
+                while last < len(texts) and (held := held + len(texts[last] or "")) <= CHUNK:
+                    last += 1
+                ids = zip(*words.encode_all(texts[first:last]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, last - first) for k in (0, 1)), *(pa.array(c, pa.binary()) for c in ids)], names=["_row", "doc_id", "a", "b"])
+                first = last
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "_row long, doc_id long, a binary, b binary")

@@ -96,3 +96,20 @@ def test_words_equal_whole_texts(monkeypatch):
             assert got in ([[], []], [library.encode(" " + text, add_special_tokens=False).ids, model.encode(text)]), text
             by_words += text[0] != " " and all(w in words.of_a for w in text.split(" "))
         assert few == 3 or letters == 5 or by_words > 1000
+
+
+def test_new_words_are_encoded_together(monkeypatch):
+    """Many texts' new words take few calls, and those that are not given back leave the others right."""
+    a, b, *_ = A.both(A_PATH, B_PATH)
+    texts = [" ".join(f"w{i * j}é {'ﬁ' if i % 9 == 3 else 'x'}{j}" for j in range(20)) for i in range(40)] + ODD
+    want = [A.tokens(text, a, b) for text in texts]
+    calls = []
+    monkeypatch.setattr(A.Bytes, "encode", lambda self, text, encode=A.Bytes.encode: (calls.append(text), encode(self, text))[1])
+    words = A.Words(a, b)
+    got = words.encode_all(texts)
+    assert [tuple(np.frombuffer(x, "<u4").tolist() for x in pair) for pair in got] == [tuple(map(list, pair)) for pair in want]
+    assert len(words.of_a) > 300 > len(calls)
+    # where a text of words is not given back, it is halved
+    monkeypatch.setattr(A.Pieces, "together", lambda self, text, together=A.Pieces.together: together(self, text)[:: -1 if "x7" in text.split(" ") else 1])
+    halved = A.Words(a, b)
+    assert halved.encode_all(texts) == got and set(halved.of_a) == set(words.of_a)
