@@ -138,8 +138,8 @@ def center_crop(width: Column, height: Column, fraction: float, least: int = 16)
     return F.struct(F.floor((width - side) / 2).cast("int").alias("left"), F.floor((height - side) / 2).cast("int").alias("top"), side.alias("side"))
 
 
-#: Pixels of images that are worked on together.
-TOGETHER = 1 << 20
+#: Pixels of images that are worked on together: few, since a worker holds some ten arrays of doubles of them.
+TOGETHER = 1 << 14
 
 
 def each_stack(images: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

@@ -392,3 +392,10 @@ def test_denoise_and_flatten_equal_loops(spark):
         blurred = np.array([[(wide[y : y + 17, x : x + 17] * kernel).sum() for x in range(w)] for y in range(h)])
         want = (a * np.rint(blurred)[..., None] + np.rint(color) * (255 - np.rint(blurred)[..., None])) / 255
         assert np.abs(np.frombuffer(flat[i], np.uint8).reshape(h, w, 3) - want).max() <= 1.5
+
+
+def test_stacks_stay_small(spark):
+    """Many small images come a few at a time, so that a worker's memory doesn't grow with the batch."""
+    df = spark.range(3000, numPartitions=1).select("id", F.lit(16).alias("width"), F.lit(16).alias("height"), F.lit(bytes(768)).alias("pixels"))
+    sizes = [r.pixels[0] for r in images.each_stack(df, lambda x: np.full(x.shape, len(x))).collect()]
+    assert len(sizes) == 3000 and 8 <= max(sizes) <= 128
