@@ -1,4 +1,4 @@
-"""Counts of BPE tokens of prompts, with the work done once for each distinct word."""
+"""Counts of BPE tokens of prompts, with the work done once for each distinct word that a worker remembers."""
 
 from __future__ import annotations
 
@@ -7,15 +7,19 @@ from collections.abc import Mapping, Sequence
 from functools import cache
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Runs of letters, of digits, and of anything else but spaces.
 WORD = r"\p{L}+|\p{Nd}+|[^\p{L}\p{Nd}\s\p{Z}\x1c-\x1f\x85]+"
 END = "</w>"
 #: Tokens of a prompt at most; longer ones are cut off before their end token.
 MOST = 77
+#: Words that a worker remembers, the characters of one, and words that are counted together.
+WORDS, LETTERS, TOGETHER = 200_000, 64, 1 << 17
 
 Merges = Mapping[tuple[str, str], int]
 
@@ -66,20 +70,46 @@ def merged(parts: Sequence[str], merges: Merges) -> list[str]:
     return [x for x in held if x is not None]
 
 
+@cache
+def remembered(path: str) -> dict[str, int]:
+    """A worker's words and their numbers of tokens."""
+    return {}
+
+
+def word_sizes(words: pa.Array, merges: Merges, known: dict[str, int]) -> np.ndarray:
+    """The number of tokens of each word, with ``known`` used and added to; it is cleared where it is full."""
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    sizes = [known.get(w) or len(merged(symbols(w), merges)) for w in distinct]
+    if len(known) + len(distinct) > WORDS:
+        known.clear()
+    known.update((w, n) for w, n in zip(distinct, sizes) if len(w) <= LETTERS)
+    return np.array(sizes, np.int64)[coded.indices.to_numpy()]
+
+
 def token_counts(docs: DataFrame, row: str, text: str, path: str, most: int = MOST) -> DataFrame:
     """row, tokens (with start and end) and clipped (at most ``most``) of every row.
 
     ``path`` is a vocabulary's file on every machine. Texts are lower-cased; null ones have a start and an end. Rows that
-    share an id have the tokens of all of them.
+    share an id have the tokens of all of them. Words stay in the task that reads them, and only their counts are shuffled.
     """
-    words = docs.select(row, F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))).alias("word")).groupBy(row, "word").agg(F.count("*").alias("n"))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
-    def sizes(batches):
-        merges = read_merges(path)
+    def run(batches):
+        merges, known = read_merges(path), remembered(path)
         for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "size": [len(merged(symbols(w), merges)) for w in batch["word"]]})
-
-    known = words.select("word").distinct().mapInPandas(sizes, "word string, size long")
-    sums = words.join(known, "word").groupBy(row).agg(F.sum(F.col("n") * F.col("size")).alias("k"))
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy())
+            first = 0
+            while first < batch.num_rows:
+                before = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + TOGETHER, side="right")))
+                ids, words = batch.slice(first, last - first).columns
+                total = np.concatenate([[0], np.cumsum(word_sizes(words.flatten(), merges, known))])
+                cut = np.concatenate([[0], ends[first:last] - before])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(total[cut]))], names=[row, "k"])
+                first = last
+
+    counts = docs.select(row, found.alias("words")).mapInArrow(run, StructType([StructField(row, docs.schema[row].dataType), StructField("k", LongType())]))
+    sums = counts.groupBy(row).agg(F.sum("k").alias("k"))
     total = F.coalesce("k", F.lit(0)) + 2
     return docs.select(row).join(sums, row, "left").select(row, total.cast("long").alias("tokens"), F.least(total, F.lit(most)).cast("long").alias("clipped"))

@@ -2,8 +2,10 @@
 
 import math
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -399,3 +401,27 @@ def test_stacks_stay_small(spark):
     df = spark.range(3000, numPartitions=1).select("id", F.lit(16).alias("width"), F.lit(16).alias("height"), F.lit(bytes(768)).alias("pixels"))
     sizes = [r.pixels[0] for r in images.each_stack(df, lambda x: np.full(x.shape, len(x))).collect()]
     assert len(sizes) == 3000 and 8 <= max(sizes) <= 128
+
+
+def test_token_counts_shuffle_no_words(spark, monkeypatch, capsys):
+    """Rows that share an id, null ids, few words at a time and none remembered; what is shuffled holds no words."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["", None, "one two, two", "Stationary stations 12", " \n ", "x" * 300, "the the the"] * 3
+    rows = [(i % 8 if i != 5 else None, t) for i, t in enumerate(texts)]
+    merges = codec.read_merges(path)
+    size = lambda t: sum(len(codec.merged(codec.symbols(w), merges)) for w in re.findall(r"[a-z]+|\d+|,", (t or "").lower()))
+    want = sorted((str(i), 2 + sum(size(t) for j, t in rows if j == i and i is not None)) for i, _ in rows)
+    df = spark.createDataFrame(rows, "i long, t string")
+    for together in (1 << 17, 2):
+        monkeypatch.setattr(codec, "TOGETHER", together)
+        assert sorted((str(r.i), r.tokens) for r in codec.token_counts(df, "i", "t", path).collect()) == want
+    assert codec.token_counts(df.limit(0), "i", "t", path).count() == 0
+    capsys.readouterr()
+    codec.token_counts(df, "i", "t", path).explain()
+    assert "Generate" not in (plan := capsys.readouterr().out) and "MapInArrow" in plan
+    monkeypatch.setattr(codec, "WORDS", 3)
+    known = {}
+    for some in (["one", "two"], ["one", "x" * 300, "one"], ["station", "two"]):
+        assert codec.word_sizes(pa.array(some), merges, known).tolist() == list(map(size, some)) and len(known) <= 3 and max(map(len, known)) < 300
