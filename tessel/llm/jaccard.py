@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm import _bytes as B
-from tessel.llm._common import arrow_map, list_array, scratch, small_batches, text_or_empty
+from tessel.llm._common import arrow_map, list_array, marked, scratch, small_batches, text_or_empty
 from tessel.llm._graph import components
 
 #: Members of a family that meet in one task are two blocks of about this many, and of about as many shingles in all.
@@ -24,6 +24,9 @@ BITS, MOST_BITS = 1024, 65536
 #: Sets that share a segment are compared each with each up to this many; more meet in a family.
 FEW = 4
 PAIR = -100
+#: Segments that meet in one step of a task, about, and how many neighbouring ones of a set may go there together. The set's
+#: key is written once for these, so that a segment takes 5 to 8 bytes, however many tasks there are.
+MEETING, TOGETHER = 1 << 21, 16
 #: A filter of documents' numbers has this power of two of bits at most: 32 MB; it is gathered in parts of so many bytes.
 SIFT_BITS, SIFT_PART = 28, 1 << 16
 
@@ -102,6 +105,11 @@ def signatures(shingles: np.ndarray, at: np.ndarray, least: Fraction) -> tuple[n
     segments than differences: a set with more filled segments than those has a filled one in common with its partner, so
     that its empty ones, which say nothing, are left out. Only where both lack this do they meet by empty ones.
     """
+    return _placed(shingles, at, least)[:3]
+
+
+def _placed(shingles: np.ndarray, at: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """See ``signatures``; besides, each value's band (times 2^40) and number of the segment there."""
     t, sizes = threshold(least.numerator, least.denominator), np.diff(at)
     bands = t.bands(sizes)
     segments, most = np.array(t.segments), np.array(t.most)
@@ -126,14 +134,14 @@ def signatures(shingles: np.ndarray, at: np.ndarray, least: Fraction) -> tuple[n
         value = B.mix(value ^ B.mix(place + np.uint64(1)))
         kept = ~np.repeat(enough, number) | (np.diff(held) > 0)
         number = np.add.reduceat(np.append(kept, False).astype(np.int64), begin[:-1]) * (sizes > 0) if len(sizes) else number
-        found.append((number, np.concatenate([[0], np.cumsum(number)]), value[kept], np.repeat(2 * np.maximum(spare, -1) + up, number)))
-    (n0, b0, v0, s0), (n1, b1, v1, s1) = found
+        found.append((number, np.concatenate([[0], np.cumsum(number)]), value[kept], np.repeat(2 * np.maximum(spare, -1) + up, number), place[kept]))
+    (n0, b0, v0, s0, p0), (n1, b1, v1, s1, p1) = found
     begin = b0 + b1
-    values, spares = np.empty(begin[-1], dtype=np.uint64), np.empty(begin[-1], dtype=np.int32)
-    for number, old, value, spare, to in ((n0, b0, v0, s0, begin[:-1]), (n1, b1, v1, s1, begin[:-1] + n0)):
+    values, spares, places = np.empty(begin[-1], dtype=np.uint64), np.empty(begin[-1], dtype=np.int32), np.empty(begin[-1], dtype=np.uint64)
+    for number, old, value, spare, place, to in ((n0, b0, v0, s0, p0, begin[:-1]), (n1, b1, v1, s1, p1, begin[:-1] + n0)):
         where = np.repeat(to, number) + np.arange(len(value)) - np.repeat(old[:-1], number)
-        values[where], spares[where] = value, spare
-    return values, begin, spares
+        values[where], spares[where], places[where] = value, spare, place
+    return values, begin, spares, places.view(np.int64)
 
 
 def set_keys(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -164,8 +172,35 @@ def sketched(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
     return arrow_map(_texts(docs, doc_id, text), run, "doc_id long, hash long, n_shingles long, key long, sketch binary")
 
 
-def segments(docs: DataFrame, width: int, least: Fraction, doc_id: str, text: str) -> DataFrame:
-    """(segment, node, spare) of the texts' sets, node being the set's key; a task gives on each of its sets once."""
+def _bytes_each(data: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Binary values, each the bytes of the items from its begin to the next one's."""
+    return pa.Array.from_buffers(pa.binary(), len(begin) - 1, [None, pa.py_buffer((begin * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _sets_by_band(rows: DataFrame, least: Fraction) -> np.ndarray:
+    """How many rows with a set have segments in each band; a band has those of its own sets and of the one below."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = np.bincount(threshold(least.numerator, least.denominator).bands(batch.column(0).to_numpy()))
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["band", "n"])
+
+    counts = arrow_map(rows.where("n_shingles > 0").select("n_shingles"), run, "band long, n long").groupBy("band").agg(F.sum("n").alias("n")).collect()
+    own = np.zeros(max([r.band for r in counts], default=0) + 2, dtype=np.int64)
+    for r in counts:
+        own[r.band] = r.n
+    return own + np.append(0, own[:-1])
+
+
+def segments(docs: DataFrame, width: int, least: Fraction, doc_id: str, text: str, in_band: np.ndarray) -> DataFrame:
+    """Segments of the texts' sets by the group in which equal ones meet; a task gives on each of its sets once.
+
+    A row holds segments of one group and of some sets: these (nodes, a set's key each), how many each has, spare of each,
+    and 32 bits of each segment, so that a few unlike ones may meet, too. A group has up to TOGETHER neighbouring segments
+    of a band, fewer where ``in_band`` says that many sets have them; where that is not enough, one segment is dealt by its
+    values.
+    """
+    together = np.clip(MEETING // np.maximum(in_band, 1), 1, TOGETHER)
+    dealt = np.minimum(-(-in_band // MEETING).clip(1), 1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = np.zeros(0, np.int64)
@@ -178,58 +213,93 @@ def segments(docs: DataFrame, width: int, least: Fraction, doc_id: str, text: st
                 new &= ~np.isin(keys, given)
                 given = np.concatenate([given, keys[new]])
                 sizes = np.diff(at)
-                values, begin, spares = signatures(shingles[np.repeat(new, sizes)], np.concatenate([[0], np.cumsum(sizes[new])]), least)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.repeat(keys[new], np.diff(begin))), pa.array(spares)], names=["segment", "node", "spare"])
-
-    return _texts(docs, doc_id, text).mapInArrow(run, "segment long, node long, spare int")
+                values, begin, spares, places = _placed(shingles[np.repeat(new, sizes)], np.concatenate([[0], np.cumsum(sizes[new])]), least)
+                if not len(values):
+                    continue
+                band = places >> 40
+                group = (band << 40) + ((places & ((1 << 40) - 1)) // together[band] << 16) + (values.astype(np.uint32) % dealt[band])
+                order = np.argsort(group, kind="stable")
+                group, owner = group[order], np.repeat(np.arange(len(begin) - 1), np.diff(begin))[order]
+                rows = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+                each = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])]))
+                upto = np.append(np.searchsorted(each, rows), len(each))
+                columns = [
+                    pa.array(group[rows]),
+                    _bytes_each(keys[new][owner[each]], upto),
+                    _bytes_each(np.diff(np.append(each, len(group))).astype(np.uint8), upto),
+                    _bytes_each(spares[order][each], upto),
+                    _bytes_each((values[order] >> np.uint64(32)).astype(np.uint32), np.append(rows, len(group))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["group", "nodes", "counts", "spares", "segments"])
+
+    return _texts(docs, doc_id, text).mapInArrow(run, "group long, nodes binary, counts binary, spares binary, segments binary")
+
+
+def _settled(segment: np.ndarray, node: np.ndarray, spare: np.ndarray, first: np.ndarray, last: bool) -> tuple[tuple, tuple]:
+    """(a, b, spare) of the segments at hand, see ``meetings``, and (segment, node, spare, first) that later ones need.
+
+    Of more than FEW sets that share a segment the first is needed, and marked as such: the others have met it.
+    """
+    order = np.argsort(segment)
+    equal = segment[order][1:] == segment[order][:-1]
+    shared = np.append(False, equal) | np.append(equal, False) if len(order) else np.zeros(0, dtype=bool)
+    alone, some = order[~shared], order[shared]
+    some = some[np.lexsort((node[some], ~first[some], segment[some]))]
+    s, n = segment[some], node[some]
+    new = np.ones(len(some), dtype=bool)
+    new[1:] = (s[1:] != s[:-1]) | (n[1:] != n[:-1])
+    some, s, n = some[new], s[new], n[new]
+    starts = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(starts, len(s)))
+    met = first[some[starts]]
+    large = np.repeat((lengths > FEW) | met, lengths)
+    tell = large & ~first[some] & (~np.repeat(met, lengths) | (n != np.repeat(n[starts], lengths)))
+    out = [(np.repeat(n[starts], lengths)[tell], n[tell], spare[some][tell])]
+    if last:
+        for d in range(1, FEW):
+            near = np.flatnonzero((s[:-d] == s[d:]) & ~large[d:]) if len(s) > d else np.zeros(0, np.int64)
+            out.append((n[near], n[near + d], np.full(len(near), PAIR, np.int32)))
+    begins = np.zeros(len(s), dtype=bool)
+    begins[starts] = True
+    kept = np.concatenate([alone, some[~large | begins]])
+    flags = np.concatenate([first[alone], (large & begins)[~large | begins]])
+    return tuple(np.concatenate(x) for x in zip(*out)), (segment[kept], node[kept], spare[kept], flags)
 
 
 def meetings(parts: DataFrame) -> DataFrame:
     """(a, b, spare): pairs of up to FEW sets that share a segment (spare is PAIR); of more, each with the first one.
 
-    Segments are dealt and sorted; a task reads runs of equal ones and holds FEW rows of a run, however long it is.
+    Groups are dealt and sorted. A task takes up about MEETING segments of them at a time, and where one group has more, it
+    goes on with FEW rows at most of each segment.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        long_run: tuple[int, int] | None = None
-        for batch in _and_end(batches):
-            segment, node, spare = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns)) if batch is not None else held
-            out = []
-            if long_run is not None and len(segment):
-                more = int(np.searchsorted(segment, long_run[0], side="right")) if segment[0] == long_run[0] else 0
-                out.append((np.full(more, long_run[1]), node[:more], spare[:more]))
-                segment, node, spare = segment[more:], node[more:], spare[more:]
-                if len(segment):
-                    long_run = None
-            new = np.ones(len(segment), dtype=bool)
-            new[1:] = (segment[1:] != segment[:-1]) | (node[1:] != node[:-1])
-            segment, node, spare = segment[new], node[new], spare[new]
-            starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]])) if len(segment) else np.zeros(0, np.int64)
-            lengths = np.diff(np.append(starts, len(segment)))
-            held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-            if batch is not None and len(starts):
-                last = starts[-1]
-                if lengths[-1] > FEW:
-                    long_run = (int(segment[last]), int(node[last]))
-                else:
-                    held = [segment[last:], node[last:], spare[last:]]
-                    segment, node, spare, starts, lengths = segment[:last], node[:last], spare[:last], starts[:-1], lengths[:-1]
-            large = np.repeat(lengths > FEW, lengths)
-            out.append((np.repeat(node[starts], lengths)[large], node[large], spare[large]))
-            for d in range(1, FEW):
-                near = np.flatnonzero((segment[:-d] == segment[d:]) & ~large[d:]) if len(segment) > d else np.zeros(0, np.int64)
-                out.append((node[near], node[near + d], np.full(len(near), PAIR, np.int32)))
-            a, b, s = (np.concatenate(x) for x in zip(*out))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b), pa.array(s.astype(np.int32))], names=["a", "b", "spare"])
-
-    return parts.repartition("segment").sortWithinPartitions("segment", "node").mapInArrow(run, "a long, b long, spare int")
-
-
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+        none = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, dtype=bool))
+        held, n, most, group = [none], 0, 2 * MEETING, None
+
+        def settle(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n, most
+            out, left = _settled(*(np.concatenate(x) for x in zip(*held)), last)
+            held = [none if last else left]
+            n = len(held[0][0])
+            most = 2 * max(MEETING, n)
+            yield from pa.table([pa.array(x) for x in out], names=["a", "b", "spare"]).to_batches(1 << 16)
+
+        for batch in batches:
+            groups = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])) if len(groups) else np.zeros(0, np.int64)
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(groups)]):
+                if groups[i] != group and n > MEETING >> 3:
+                    yield from settle(True)
+                elif n > most:
+                    yield from settle(False)
+                group = groups[i]
+                nodes, counts, spares, values = (np.frombuffer(b"".join(batch.column(k).slice(i, j - i).to_pylist()), kind) for k, kind in ((1, np.int64), (2, np.uint8), (3, np.int32), (4, np.uint32)))
+                held.append((values, np.repeat(nodes, counts), np.repeat(spares, counts), np.zeros(len(values), dtype=bool)))
+                n += len(values)
+        yield from settle(True)
+
+    return parts.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long, spare int")
 
 
 def folded(shingles: np.ndarray) -> bytes:
@@ -372,7 +442,7 @@ def _found(docs: DataFrame, width: int, least: Fraction, doc_id: str, text: str,
     """See ``linked``; with ``every``, all links between classes are given, else some that join the same ones."""
     rows = scratch(sketched(docs, width, doc_id, text), "jaccard-rows")
     classes = scratch(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "jaccard-classes")
-    met = scratch(meetings(segments(docs, width, least, doc_id, text)), "jaccard-met")
+    met = scratch(meetings(segments(docs, width, least, doc_id, text, _sets_by_band(rows, least))), "jaccard-met")
     pairs = possible(met.where(F.col("spare") == PAIR).select("a", "b").distinct(), classes, least)
     crowd = met.where(F.col("spare") != PAIR).groupBy("b", F.col("spare").bitwiseAND(1).alias("up")).agg(F.count("*").alias("n"), F.max(F.shiftright("spare", 1)).alias("can_spare"), F.min("a").alias("low"), F.collect_set("a").alias("all")).where("n > can_spare")
     # a class leads to the lowest of its segments' first classes, and so do these: few edges, however large a segment
@@ -486,12 +556,18 @@ def keep_one(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10),
     found = _found(docs, width, least, doc_id, text, False)
     named = _named(found).select("key", "component")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("hash").alias("hash"))
-    first = found.rows.where("n_shingles > 0").join(named, "key").groupBy("component").agg(F.min(order).alias("x"))
+    worded = found.rows.where("n_shingles > 0")
+    first = worded.join(named, "key").groupBy("component").agg(F.min(order).alias("x"))
     first = scratch(first.select("x.id", "x.hash"), "jaccard-first")
+    # texts are shuffled only where a row may go: it has equals or is not the first of its component
+    both = worded.select(F.col("doc_id").alias("id"), "hash", F.lit(1).alias("n"), F.lit(0).alias("first")).unionByName(first.select("id", "hash", F.lit(0).alias("n"), F.lit(1).alias("first")))
+    pair = F.xxhash64("id", "hash").alias("_pair")
+    open_ = scratch(both.groupBy("id", "hash").agg(F.sum("n").alias("n"), F.max("first").alias("first")).where("n > 1 OR first = 0").select(pair), "jaccard-open")
     column = lambda c: F.col(f"`{c}`")
     rows = docs.select(F.struct(*map(column, docs.columns)).alias("_row"), column(doc_id).cast("long").alias("id"), F.xxhash64(text_or_empty(column(text))).alias("hash"), column(text).alias("_text"))
     wordless = ~F.coalesce(F.col("_text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    some = rows.where(~wordless).drop("_text")
+    rows = marked(rows.select("_row", "id", "hash", wordless.alias("_wordless"), pair), open_, "_pair", "jaccard-marks").withColumn("_may", F.col("_may") & ~F.col("_wordless"))
+    some = rows.where("_may").select("_row", "id", "hash")
     kept = some.where("id IS NOT NULL").join(first.where("id IS NOT NULL"), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"])
     unnamed = some.where("id IS NULL").join(first.where("id IS NULL").select("hash"), "hash", "left_semi").dropDuplicates(["hash"])
-    return kept.select("_row.*").unionByName(unnamed.select("_row.*")).unionByName(rows.where(wordless).select("_row.*"))
+    return rows.where("NOT _may").select("_row.*").unionByName(kept.select("_row.*")).unionByName(unnamed.select("_row.*"))
