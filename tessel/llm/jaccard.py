@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessel.llm import _bytes as B
 from tessel.llm._common import arrow_map, list_array, marked, scratch, small_batches, text_or_empty
@@ -19,11 +20,13 @@ from tessel.llm._graph import components
 
 #: Members of a family that meet in one task are two blocks of about this many, and of about as many shingles in all.
 BLOCK, BLOCK_SHINGLES = 100, 1 << 20
+#: Blocks of sketches are so many times as large.
+SKETCHES = 40
 #: Bits of the folded sketch by which candidates are compared before their sets are; larger sets have more.
 BITS, MOST_BITS = 1024, 65536
 #: Sets that share a segment are compared each with each up to this many; more meet in a family.
 FEW = 4
-PAIR = -100
+PAIR, UNCOUNTED = -100, (1 << 31) - 1
 #: Segments that meet in one step of a task, about, and how many neighbouring ones of a set may go there together. The set's
 #: key is written once for these, so that a segment takes 5 to 8 bytes, however many tasks there are.
 MEETING, TOGETHER = 1 << 21, 16
@@ -236,7 +239,7 @@ def segments(docs: DataFrame, width: int, least: Fraction, doc_id: str, text: st
 
 
 def _settled(segment: np.ndarray, node: np.ndarray, spare: np.ndarray, first: np.ndarray, last: bool) -> tuple[tuple, tuple]:
-    """(a, b, spare) of the segments at hand, see ``meetings``, and (segment, node, spare, first) that later ones need.
+    """What ``meetings`` gives of the segments at hand, and (segment, node, spare, first) that later ones need.
 
     Of more than FEW sets that share a segment the first is needed, and marked as such: the others have met it.
     """
@@ -254,11 +257,12 @@ def _settled(segment: np.ndarray, node: np.ndarray, spare: np.ndarray, first: np
     met = first[some[starts]]
     large = np.repeat((lengths > FEW) | met, lengths)
     tell = large & ~first[some] & (~np.repeat(met, lengths) | (n != np.repeat(n[starts], lengths)))
-    out = [(np.repeat(n[starts], lengths)[tell], n[tell], spare[some][tell])]
+    size = np.repeat(np.where(met | (not last), UNCOUNTED, lengths), lengths).astype(np.int32)
+    out = [(np.repeat(n[starts], lengths)[tell], n[tell], spare[some][tell], size[tell], s[tell].view(np.int32))]
     if last:
         for d in range(1, FEW):
             near = np.flatnonzero((s[:-d] == s[d:]) & ~large[d:]) if len(s) > d else np.zeros(0, np.int64)
-            out.append((n[near], n[near + d], np.full(len(near), PAIR, np.int32)))
+            out.append((n[near], n[near + d], np.full(len(near), PAIR, np.int32), np.zeros(len(near), np.int32), np.zeros(len(near), np.int32)))
     begins = np.zeros(len(s), dtype=bool)
     begins[starts] = True
     kept = np.concatenate([alone, some[~large | begins]])
@@ -267,10 +271,11 @@ def _settled(segment: np.ndarray, node: np.ndarray, spare: np.ndarray, first: np
 
 
 def meetings(parts: DataFrame) -> DataFrame:
-    """(a, b, spare): pairs of up to FEW sets that share a segment (spare is PAIR); of more, each with the first one.
+    """(a, b, spare, size, segment): pairs of up to FEW sets that share a segment (spare is PAIR); of more, each with the
+    first one, how many they are and the segment's 32 bits.
 
     Groups are dealt and sorted. A task takes up about MEETING segments of them at a time, and where one group has more, it
-    goes on with FEW rows at most of each segment.
+    goes on with FEW rows at most of each segment; those of more sets are UNCOUNTED then.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +288,7 @@ def meetings(parts: DataFrame) -> DataFrame:
             held = [none if last else left]
             n = len(held[0][0])
             most = 2 * max(MEETING, n)
-            yield from pa.table([pa.array(x) for x in out], names=["a", "b", "spare"]).to_batches(1 << 16)
+            yield from pa.table([pa.array(x) for x in out], names=["a", "b", "spare", "size", "segment"]).to_batches(1 << 16)
 
         for batch in batches:
             groups = batch.column(0).to_numpy()
@@ -299,7 +304,7 @@ def meetings(parts: DataFrame) -> DataFrame:
                 n += len(values)
         yield from settle(True)
 
-    return parts.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long, spare int")
+    return parts.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long, spare int, size int, segment int")
 
 
 def folded(shingles: np.ndarray) -> bytes:
@@ -420,9 +425,10 @@ class Found(NamedTuple):
     links: DataFrame
 
 
-def _blocked(members: DataFrame, by: list[str]) -> DataFrame:
-    """Adds block: members with equal ``by`` are dealt into blocks of about BLOCK members and BLOCK_SHINGLES shingles."""
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+def _blocked(members: DataFrame, by: list[str], times: int = 1) -> DataFrame:
+    """Adds block: members with equal ``by`` are dealt into blocks of about BLOCK members and BLOCK_SHINGLES shingles, or so
+    many times as large ones."""
+    blocks = F.greatest(F.ceil(F.count("*") / (BLOCK * times)), F.ceil(F.sum("n_shingles") / (BLOCK_SHINGLES * times)))
     sizes = scratch(members.groupBy(*by).agg(blocks.alias("blocks")), "jaccard-blocks")
     return members.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
@@ -438,16 +444,74 @@ def _checked(meeting: DataFrame, by: list[str], least: Fraction, every: bool) ->
     return meeting.groupBy(*by).applyInPandas(verify, "a long, b long")
 
 
+def _kept(met: DataFrame) -> DataFrame:
+    """(bucket, node, banded): the sets that must look for partners in a segment that more than FEW share; a set is banded
+    under one number for its own band and under another for the next.
+
+    Two similar sets have at least one segment more in common than either can spare, so that each may leave out as many as
+    it can spare: the most crowded, ties by the segment. The least crowded that both have in common is then kept by both.
+    """
+    crowd = met.where(F.col("spare") != PAIR).select("a", "b", F.col("spare").bitwiseAND(1).alias("up"), F.shiftright("spare", 1).alias("can_spare"), "size", "segment")
+    many = crowd.groupBy("b", "up").agg((F.count("*") - F.max("can_spare")).alias("keep")).where("keep > 0")
+    many = scratch(many, "jaccard-crowded")
+    some = marked(crowd, many, "b", "jaccard-marks").where("_may").join(many, ["b", "up"])
+    rank = F.rank().over(Window.partitionBy("b", "up").orderBy("size", "segment"))
+    return some.withColumn("rank", rank).where("rank <= keep").select(F.xxhash64("a", "segment").alias("bucket"), F.col("b").alias("node"), F.xxhash64("b", "up").alias("banded"))
+
+
+def _families(met: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
+    """node and component of the sets that sizes and sketches allow to be similar enough, where their segments meet.
+
+    In crowded segments each set is compared with the first one that is kept there. Sets of one band that such segments
+    join are a crowd; where sketches leave parts of it apart, all of these are compared, in tasks of two blocks.
+    """
+    kept = scratch(_kept(met), "jaccard-kept")
+    first = kept.groupBy("bucket").agg(F.min(F.struct("node", "banded")).alias("x"), F.max("node").alias("last")).where("x.node < last")
+    stars = scratch(kept.join(first, "bucket").where("node <> x.node").select(F.col("x.node").alias("a"), F.col("node").alias("b"), F.col("x.banded").alias("a_banded"), "banded").distinct(), "jaccard-stars")
+    pairs = met.where(F.col("spare") == PAIR).select("a", "b").unionByName(stars.select("a", "b")).distinct()
+    joined = components(possible(pairs, classes, least))
+    crowds = components(stars.select(F.col("a_banded").alias("a"), F.col("banded").alias("b"))).select(F.col("node").alias("banded"), F.col("component").alias("family"))
+    ends = stars.select(F.col("a").alias("node"), F.col("a_banded").alias("banded")).unionByName(stars.select(F.col("b").alias("node"), "banded")).distinct()
+    sketches = classes.select(F.col("key").alias("node"), "n_shingles", "sketch")
+    parts = ends.join(crowds, "banded").join(joined, "node", "left").select("node", "family", F.coalesce("component", "node").alias("part"))
+    parts = scratch(parts.join(sketches.drop("sketch"), "node"), "jaccard-crowds")
+    meeting = sketches.join(_meeting(parts, SKETCHES), "node").select("node", "family", "low", "high", "part", "n_shingles", "sketch")
+    near = meeting.groupBy("family", "low", "high").applyInArrow(lambda table: _near(table, least), "a long, b long")
+    return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(near))
+
+
+def _near(table: pa.Table, least: Fraction) -> pa.Table:
+    """Pairs (a, b) that sizes and sketches allow to be similar enough: some, which join all such pairs of different parts."""
+    node, rows = np.unique(table["node"].to_numpy(), return_index=True)
+    n, part = table["n_shingles"].to_numpy()[rows], np.unique(table["part"].to_numpy()[rows], return_inverse=True)[1]
+    held = table["sketch"].take(pa.array(rows)).to_pylist()
+    lengths = np.array([len(x) for x in held])
+    sketches = np.empty((len(held), lengths.min(initial=MOST_BITS)), dtype=np.uint8)
+    for length in np.unique(lengths):
+        some = np.flatnonzero(lengths == length)
+        x = np.frombuffer(b"".join(held[i] for i in some), np.uint8).reshape(len(some), -1)
+        while x.shape[1] > sketches.shape[1]:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        sketches[some] = x
+    sketches = sketches.view(np.uint64)
+    p, q, found = least.numerator, least.denominator, []
+    for i in range(len(node) - 1):
+        j = i + 1 + np.flatnonzero((part[i + 1 :] != part[i]) & (q * np.minimum(n[i + 1 :], n[i]) >= p * np.maximum(n[i + 1 :], n[i])))
+        if len(j):
+            j = j[(p + q) * np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64) <= (q - p) * (n[j] + n[i])]
+            others, at = np.unique(part[j], return_index=True)
+            found += [(node[i], node[k]) for k in j[at]]
+            part[np.isin(part, others)] = part[i]
+    a, b = zip(*found) if found else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _found(docs: DataFrame, width: int, least: Fraction, doc_id: str, text: str, every: bool) -> Found:
     """See ``linked``; with ``every``, all links between classes are given, else some that join the same ones."""
     rows = scratch(sketched(docs, width, doc_id, text), "jaccard-rows")
     classes = scratch(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "jaccard-classes")
     met = scratch(meetings(segments(docs, width, least, doc_id, text, _sets_by_band(rows, least))), "jaccard-met")
-    pairs = possible(met.where(F.col("spare") == PAIR).select("a", "b").distinct(), classes, least)
-    crowd = met.where(F.col("spare") != PAIR).groupBy("b", F.col("spare").bitwiseAND(1).alias("up")).agg(F.count("*").alias("n"), F.max(F.shiftright("spare", 1)).alias("can_spare"), F.min("a").alias("low"), F.collect_set("a").alias("all")).where("n > can_spare")
-    # a class leads to the lowest of its segments' first classes, and so do these: few edges, however large a segment
-    stars = crowd.select(F.col("low").alias("a"), F.explode(F.array_union("all", F.array("b"))).alias("b")).where("a <> b").distinct()
-    families = components(pairs.unionByName(stars)).withColumnRenamed("component", "family")
+    families = _families(met, classes, least).withColumnRenamed("component", "family")
     families = families.join(classes.select("key", "class", "n_shingles"), F.col("node") == F.col("key")).where("class IS NOT NULL").select("node", "family", "class", "n_shingles")
     families = scratch(_blocked(families, ["family"]).select("node", "family", "block", "blocks", "class", "n_shingles"), "jaccard-families")
     body = sifted(docs.select(F.col(doc_id).cast("long").alias("class"), text_or_empty(text).alias("text")), families, "class")
@@ -474,18 +538,25 @@ def _found(docs: DataFrame, width: int, least: Fraction, doc_id: str, text: str,
 
 
 def _between(known: DataFrame, near: DataFrame, least: Fraction) -> DataFrame:
-    """Links between sets of a family that the links ``near`` leave apart.
+    """Links between sets of a family that the links ``near`` leave apart."""
+    parts = known.select("node", "family", "n_shingles").join(components(near), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    members = known.select("node", "shingles").join(_meeting(parts, 1), "node").select("node", "family", "low", "high", "shingles")
+    return _checked(members, ["family", "low", "high"], least, False)
 
-    Components of BLOCK sets or more are dealt into blocks of their own and the other sets of a family into mixed ones.
-    Two blocks meet unless they are of one component, so that what is joined is not compared again.
+
+def _meeting(parts: DataFrame, times: int) -> DataFrame:
+    """node, family, part, low and high: the members of blocks low and high of a family, which meet.
+
+    Of (node, family, part, n_shingles), parts of a block's members or more are dealt into blocks of their own and the other
+    sets of a family into mixed ones. Two blocks meet unless they are of one part, so that what is joined is not compared
+    again. Families of one part are left out.
     """
-    parts = known.select("node", "family", "n_shingles").join(components(near), "node", "left").withColumn("part", F.coalesce("component", "node"))
     sized = scratch(parts.groupBy("family", "part").agg(F.count("*").alias("n")), "jaccard-parts")
     open_ = sized.groupBy("family").agg(F.count("*").alias("parts")).where("parts > 1").select("family")
-    large = sized.where(F.col("n") >= BLOCK).select("family", "part", F.lit(True).alias("large"))
-    parts = parts.join(open_, "family", "left_semi").join(large, ["family", "part"], "left").select("node", "family", "n_shingles", F.when(F.col("large"), F.col("part")).alias("own"))
-    dealt = _blocked(parts.withColumn("group", F.coalesce(F.col("own").cast("string"), F.lit(""))), ["family", "group"])
-    dealt = scratch(dealt.select("node", "family", "own", F.concat_ws("/", "group", "block").alias("block")), "jaccard-dealt")
+    large = sized.where(F.col("n") >= BLOCK * times).select("family", "part", F.lit(True).alias("large"))
+    parts = parts.join(open_, "family", "left_semi").join(large, ["family", "part"], "left").select("node", "family", "part", "n_shingles", F.when(F.col("large"), F.col("part")).alias("own"))
+    dealt = _blocked(parts.withColumn("group", F.coalesce(F.col("own").cast("string"), F.lit(""))), ["family", "group"], times)
+    dealt = scratch(dealt.select("node", "family", "part", "own", F.concat_ws("/", "group", "block").alias("block")), "jaccard-dealt")
     blocks = scratch(dealt.select("family", "own", "block").distinct(), "jaccard-dealt-blocks")
     side = lambda df, x: df.select("family", F.col("own").alias(f"own_{x}"), F.col("block").alias(x))
     mixed = side(blocks.where("own IS NULL"), "low").join(side(blocks, "high"), "family").where("own_high IS NOT NULL OR low <= high")
@@ -494,8 +565,7 @@ def _between(known: DataFrame, near: DataFrame, least: Fraction) -> DataFrame:
     owned = apart_.join(side(owns, "low"), ["family", "own_low"]).join(side(owns, "high"), ["family", "own_high"])
     meeting = mixed.select("family", "low", "high").unionByName(owned.select("family", "low", "high"))
     ends = meeting.select("family", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
-    members = known.select("node", "shingles").join(dealt.select("node", "family", "block"), "node")
-    return _checked(members.join(ends, ["family", "block"]).select("node", "family", "low", "high", "shingles"), ["family", "low", "high"], least, False)
+    return dealt.select("node", "family", "part", "block").join(ends, ["family", "block"]).select("node", "family", "part", "low", "high")
 
 
 def _named(found: Found) -> DataFrame:
@@ -514,9 +584,9 @@ def linked(docs: DataFrame, width: int = 5, least: Fraction = Fraction(8, 10), d
     results; empty tables have none; other columns are not looked at.
 
     1. Equal sets are one class, known by a 64-bit key of the set and named by its smallest doc_id.
-    2. Classes that share a segment of their sketches meet: up to FEW of them each with each, where sizes and folded
-       sketches decide whether they can link; of more each with the first. A class that has enough segments in small
-       company to find all its partners there takes no part in large ones.
+    2. Classes that share a segment of their sketches meet, where sizes and folded sketches decide whether they can link: up
+       to FEW of them each with each; of more each with the first, then those that this leaves apart. A class leaves out as
+       many segments as it can spare, the most crowded first; if it can spare all large ones, it takes part in none.
     3. What may link is a family (a component), and each link lies within one. A family's members are dealt into blocks.
        The sets decide, in tasks of a block and the family's first set; then of two blocks, for what is still apart.
     4. Components of these links name the documents.

@@ -1,13 +1,15 @@
 """The Jaccard join against all pairs."""
 
+import glob
 import random
+import time
 from fractions import Fraction
 
 import brute
 import numpy as np
 import pytest
 
-from tessel.llm import _graph, jaccard
+from tessel.llm import _common, _graph, jaccard
 
 
 def near_copies(seed, families, size):
@@ -117,3 +119,65 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.component for r in _graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(50)} | {499: 499, 500: 499}
     assert _graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_segments_are_packed_and_meet_in_pieces(spark, monkeypatch):
+    """A segment takes few bytes of a shuffle, and the same sets meet, however little a task takes up at a time."""
+    least, docs = Fraction(8, 10), [(i, t) for i, t in near_copies(7, 40, 30) if t and t.strip()]
+    sets = [jaccard.shingle_sets(np.frombuffer(t.lower().encode(), np.uint8), np.array([0, len(t)]), 5)[0] for _, t in docs]
+    at = np.append(0, np.cumsum([len(s) for s in sets]))
+    values, begin, _ = jaccard.signatures(np.concatenate(sets), at, least)
+    holders = {}
+    for i, k in enumerate(jaccard.set_keys(np.concatenate(sets), at).tolist()):
+        for v in values[begin[i] : begin[i + 1]].tolist():
+            holders.setdefault(v, set()).add(k)
+    few, many = [[sorted(h) for h in holders.values() if (len(h) > jaccard.FEW) == big] for big in (False, True)]
+    pairs, crowds = {(a, b) for h in few for n, a in enumerate(h) for b in h[n + 1 :]}, sorted((len(h), k) for h in many for k in h)
+    table, n = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), sum(map(len, holders.values()))
+    in_band = jaccard._sets_by_band(spark.createDataFrame([(len(s),) for s in sets], "n_shingles int"), least)
+    for meeting in (jaccard.MEETING, 16):
+        monkeypatch.setattr(jaccard, "MEETING", meeting)
+        parts = jaccard.segments(table, 5, least, "doc_id", "text", in_band)
+        rows = parts.collect()
+        assert sum(len(r.segments) for r in rows) == 4 * n and (meeting == 16 or sum(sum(map(len, r[1:])) for r in rows) < 6.5 * n)
+        met = jaccard.meetings(parts).collect()
+        assert {(r.a, r.b) for r in met if r.spare == jaccard.PAIR} == pairs
+        told = [(r.size, r.b) for r in met if r.spare != jaccard.PAIR]
+        assert sorted(told) == crowds if meeting > 16 else {k for _, k in told} == {k for _, k in crowds}
+
+
+def test_crowds_without_links_make_no_families(spark):
+    """Sets of one half that all share, and one half of their own, are crowded but far apart; links among them are found."""
+    shared = " ".join(f"s{i}" for i in range(60))
+    docs = [(i, f"{shared} " + " ".join(f"d{i}x{j}" for j in range(60))) for i in range(400)]
+    docs += [(1000 + i, docs[i][1] + " more") for i in range(0, 400, 50)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = jaccard._found(table, 5, Fraction(8, 10), "doc_id", "text", True)
+    key = {r.doc_id: r.key for r in found.rows.collect()}
+    want = {tuple(sorted((key[i], key[1000 + i]))) for i in range(0, 400, 50)}
+    assert {tuple(sorted((r.a, r.b))) for r in found.links.collect()} == want
+    least, rows = Fraction(8, 10), jaccard.sketched(table, 5, "doc_id", "text")
+    met = jaccard.meetings(jaccard.segments(table, 5, least, "doc_id", "text", jaccard._sets_by_band(rows, least)))
+    families = jaccard._families(met, found.classes, least).collect()
+    assert {r.node for r in families} == {k for pair in want for k in pair}
+
+
+def test_only_texts_that_may_go_are_shuffled(spark, monkeypatch):
+    """The last join takes the two copies, and of the texts without copies hardly any."""
+    docs = [(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(200)] + [(900, "a b c d e f"), (901, "a b c d e f"), (902, " ")]
+    taken, marked = [], jaccard.marked
+    monkeypatch.setattr(jaccard, "marked", lambda rows, wanted, key, name: taken.append(marked(rows, wanted, key, name)) or taken[-1])
+    kept = jaccard.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(200), 900, 902]
+    assert {901} <= {r.id for r in taken[-1].where("_may").collect()} and taken[-1].where("_may").count() < 10
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    old, before = files(), spark.conf.get(_common.NO_SHUFFLES_LEFT, "false")
+    table = _common.scratch(spark.range(1000).repartition("id"), "test")
+    end = time.time() + 20
+    while files() - old and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - old and spark.conf.get(_common.NO_SHUFFLES_LEFT) == before and table.count() == 1000
